@@ -30,7 +30,7 @@ FEATURES = ("words", "mean_word", "symbols", "repeats", "dup_lines", "distinct",
 MAX_TRAIN = 12_000
 THRESHOLD = 0.3
 #: The share of distinct words is taken in blocks of so many words, so that it does not fall with a text's length.
-DISTINCT_BLOCK = 50
+DISTINCT_BLOCK = 200
 TREES, DEPTH, BINS, RATE = 40, 3, 32, 0.3
 PENALTY = 5e-4
 
