@@ -153,11 +153,16 @@ def held_out(doc_id: Column) -> Column:
 def train(documents: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
     """Fit on at most ``per_language`` documents of each language outside the held-out fold.
 
-    The ranked window keeps ``per_language`` rows of a language in each task before anything is shuffled.
+    Counts per language (a row for each language) give the share of hashes that leaves about twice as many, so the
+    ranked window reads a bounded number of rows however many documents and tasks there are.
     """
     ids = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
     ids = ids.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    counts = ids.groupBy("lang").count().collect()
+    if counts:
+        share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, (2 * per_language + 50) / r["count"]))))
+        ids = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id"))
     chosen = ids.withColumn("rank", rank).where(F.col("rank") <= per_language).select("doc_id", "lang").distinct()
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # Bounded by per_language ids for each language.

@@ -25,7 +25,7 @@ from tidemark.llm.common import text_rows
 from tidemark.llm.quality_rules import text_stats
 
 PREFIX = "qc_"
-FEATURES = ("words", "mean_word", "symbols", "repeats", "dup_lines", "distinct", "top_word", "upper", "digits", "marks", "short_words", "line_words")
+FEATURES = ("words", "mean_word", "symbols", "repeats", "dup_lines", "distinct", "top_word", "upper", "digits", "marks", "short_words", "line_words", "runs")
 #: The fit reads at most this many labelled documents, those with the smallest hashes of their ids.
 MAX_TRAIN = 12_000
 THRESHOLD = 0.3
@@ -51,6 +51,7 @@ def features(data: np.ndarray) -> np.ndarray:
     out[:] = (
         n, word_chars / n, n_symbols / n, n_repeat / n, n_dup / max(n_lines, 1), _distinct(words), counts.max() / n,
         upper / max(upper + lower, 1), digits / len(data), marks / n, ((end - start) <= 3).mean(), n / max(n_lines, 1),
+        (words[1:] == words[:-1]).sum() / n,
     )
     return out
 
