@@ -83,25 +83,30 @@ def _summaries(documents: DataFrame, k: int) -> DataFrame:
 
 
 def _prefixes(documents: DataFrame, k: int, percent: int, sketch) -> DataFrame:
-    """(token, cls): the prefix tokens of every document; cls is half of its set's fingerprint."""
+    """(token, cls, n): the prefix tokens of every document; cls is half of its set's fingerprint, n the set's size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, owners, held = [], [], 0
+            tokens, owners, sizes, held = [], [], [], 0
+
+            def out() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, owners, sizes)], ["token", "cls", "n"])
+
             for x in _sets(batch, k):
                 if not len(x):
                     continue
                 p = prefix_length(len(x), percent)
                 tokens.append(_order(x, sketch.value)[:p].astype(np.int64))
                 owners.append(np.full(p, hashing.mix(x + np.uint64(1)).sum(dtype=np.uint64).astype(np.int64)))
+                sizes.append(np.full(p, len(x), np.int32))
                 held += p
                 if held > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(owners))], ["token", "cls"])
-                    tokens, owners, held = [], [], 0
+                    yield out()
+                    tokens, owners, sizes, held = [], [], [], 0
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(owners))], ["token", "cls"])
+                yield out()
 
-    return documents.select("text").mapInArrow(run, "token bigint, cls bigint")
+    return documents.select("text").mapInArrow(run, "token bigint, cls bigint, n int")
 
 
 def tree_join(probe: np.ndarray, members: list[np.ndarray], percent: int = PERCENT) -> list[bool]:
@@ -153,7 +158,8 @@ def _verified(documents: DataFrame, pairs: DataFrame, k: int, percent: int, sket
     members = salted.select(F.col("b").alias("id"), F.col("a").alias("probe"), "salt", F.lit(1).alias("role"))
     probes = sizes.select(F.col("a").alias("id"), F.col("a").alias("probe"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
     wanted = members.unionByName(probes)
-    rows = documents.select(F.col("doc_id").alias("id"), "text").join(wanted, "id")
+    # Always shuffled by id, so that the plan is the same however few or many candidates there are.
+    rows = documents.select(F.col("doc_id").alias("id"), "text").join(wanted.hint("merge"), "id")
     rows = rows.repartition("probe", "salt").sortWithinPartitions("probe", "salt", "role", "id").select("probe", "salt", "role", "id", "text")
 
     def flush(group: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
@@ -191,18 +197,22 @@ def _verified(documents: DataFrame, pairs: DataFrame, k: int, percent: int, sket
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
+def _sizes_fit(n1: Column, n2: Column, percent: int) -> Column:
+    return 100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)
+
+
 def _possible(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (one, two, k) of classes as pairs of doc_ids with k, where size and shared prefix do not rule a link out.
+    """Pairs (one, n1, two, n2, k) of classes as pairs of doc_ids with k, where k shared prefix shingles allow a link.
 
     Common shingles up to the lesser of the two prefixes' ends lie in both prefixes, so the overlap is at most k plus
     what one set has beyond its prefix.
     """
-    side = lambda name: classes.select(F.col("fp1").alias(name), F.col("rep").alias(f"{name}_rep"), F.col("n").alias(f"{name}_n"))
-    both = shared.join(side("one"), "one").join(side("two"), "two")
-    n1, n2 = F.col("one_n"), F.col("two_n")
+    n1, n2 = F.col("n1"), F.col("n2")
     most = F.col("k") + F.greatest(n1 - _prefix(n1, percent), n2 - _prefix(n2, percent))
-    fits = (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & ((100 + percent) * most >= percent * (n1 + n2))
-    return both.where(fits & (F.col("one_rep") != F.col("two_rep"))).select(F.col("one_rep").alias("a"), F.col("two_rep").alias("b"), "k")
+    fit = shared.where((100 + percent) * most >= percent * (n1 + n2))
+    side = lambda name: classes.select(F.col("fp1").alias(name), F.col("rep").alias(f"{name}_rep"))
+    both = fit.join(side("one"), "one").join(side("two"), "two")
+    return both.where("one_rep != two_rep").select(F.col("one_rep").alias("a"), F.col("two_rep").alias("b"), "k")
 
 
 def ngram_jaccard_join(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -221,24 +231,27 @@ def ngram_jaccard_join(documents: DataFrame, k: int = WORDS, percent: int = PERC
 
     # Shingles that stand in the prefixes of two classes at least, with the first and the last of these classes.
     common = prefixes.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low != high")
-    shared = materialize(prefixes.join(common, "token").groupBy("token", "cls").agg(F.first("low").alias("low"), F.first("high").alias("high")), "jaccard-shared")
+    shared = materialize(prefixes.join(common.hint("merge"), "token").groupBy("token", "cls").agg(*(F.max(c).alias(c) for c in ("n", "low", "high"))), "jaccard-shared")
     discard(prefixes)
 
-    leaders = shared.select("cls", F.explode(F.array_distinct(F.array("low", "high"))).alias("lead")).where("cls != lead")
-    pairs = leaders.groupBy(F.col("lead").alias("one"), F.col("cls").alias("two")).agg(F.count("*").alias("k"))
-    possible = _possible(pairs, classes, percent)
+    leaders = shared.select("cls", "n", F.explode(F.array_distinct(F.array("low", "high"))).alias("lead")).where("cls != lead")
+    pairs = leaders.groupBy("lead", "cls", "n").agg(F.count("*").alias("k"))
+    size = classes.groupBy(F.col("fp1").alias("lead")).agg(F.max("n").cast("int").alias("lead_n"))
+    pairs = pairs.join(size, "lead").where(_sizes_fit(F.col("n"), F.col("lead_n"), percent))
+    possible = _possible(pairs.select(F.col("lead").alias("one"), F.col("lead_n").alias("n1"), F.col("cls").alias("two"), F.col("n").alias("n2"), "k"), classes, percent)
     best = possible.groupBy("b").agg(F.max_by("a", "k").alias("a")).select("a", "b")
     tried = materialize(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
     links = materialize(_verified(d, tried, k, percent, sketch), "jaccard-links")
 
     components = materialize(connected_components(links), "jaccard-components")
     of_class = classes.select(F.col("fp1").alias("cls"), "rep").join(components, F.col("rep") == F.col("id"), "left").select("cls", F.coalesce("component", "rep").alias("component"))
-    placed = shared.select("token", "cls").join(of_class, "cls")
+    placed = shared.select("token", "cls", "n").join(of_class, "cls")
     split = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("token")
     open_ = materialize(placed.join(split, "token"), "jaccard-open")
-    one = open_.select("token", F.col("cls").alias("one"), F.col("component").alias("c1"))
-    two = open_.select("token", F.col("cls").alias("two"), F.col("component").alias("c2"))
-    rest = one.join(two, "token").where("c1 < c2").groupBy("one", "two").agg(F.count("*").alias("k"))
+    one = open_.select("token", F.col("cls").alias("one"), F.col("n").alias("n1"), F.col("component").alias("c1"))
+    two = open_.select("token", F.col("cls").alias("two"), F.col("n").alias("n2"), F.col("component").alias("c2"))
+    rest = one.join(two.hint("merge"), "token").where((F.col("c1") < F.col("c2")) & _sizes_fit(F.col("n1"), F.col("n2"), percent))
+    rest = rest.groupBy("one", "n1", "two", "n2").agg(F.count("*").alias("k"))
     rest = _possible(rest, classes, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = materialize(rest.join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
     discard(shared)
