@@ -57,6 +57,12 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.url_filter import url_filter
+
+    return url_filter(_table(spark, sf_dir, "pages"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": op6_language_id,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_url_filter": op9_url_filter,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
