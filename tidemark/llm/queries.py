@@ -31,6 +31,12 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.warc import warc_round_trip
+
+    return warc_round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.embedding_dedup import near_duplicates
 
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_warc": op4_warc,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_language_id": op6_language_id,
     "op7_suffix_dedup": op7_suffix_dedup,
