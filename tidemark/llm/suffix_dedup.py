@@ -33,15 +33,15 @@ GRAM = 16
 #: Bytes of a text that are looked at together; parts overlap by LENGTH - 1 bytes.
 PART = 1 << 20
 #: Runs of one minimizer that meet in one task.
-GROUP = 512
+GROUP = 8192
 #: Windows that one suffix sort holds.
 WINDOWS = 200_000
 
-RUN = "h bigint, span bigint, doc_id bigint, at bigint, n int"
+RUN = "h bigint, span bigint, doc_id bigint, at bigint, n int, off int"
 
 
-def minimizer_runs(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Minimizer hash, hash of the covered bytes, first start and number of starts of each run."""
+def minimizer_runs(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Minimizer hash, hash of the covered bytes, first start, number of starts and place of the minimizer after the first start, of each run."""
     n = len(data) - length + 1
     prefix = hashing.prefix_hashes(hashing.byte_table()[data])
     at = np.arange(len(data) - gram + 1)
@@ -59,7 +59,7 @@ def minimizer_runs(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) ->
     end = np.append(start[1:], n)
     whole = hashing.range_hashes(prefix, start, end + length - 1)
     shape = (end - start).astype(np.uint64) * np.uint64(hashing.BASE) + (place[start] - start).astype(np.uint64)
-    return grams[place[start]], hashing.mix(whole ^ hashing.mix(shape)), start, end - start
+    return grams[place[start]], hashing.mix(whole ^ hashing.mix(shape)), start, end - start, place[start] - start
 
 
 def _runs(documents: DataFrame, length: int, gram: int) -> DataFrame:
@@ -72,14 +72,14 @@ def _runs(documents: DataFrame, length: int, gram: int) -> DataFrame:
                 if x is None or len(x) < length:
                     continue
                 for a in range(0, len(x) - length + 1, PART):
-                    h, span, at, n = minimizer_runs(x[a : a + PART + length - 1], length, gram)
-                    held.append([h.view(np.int64), span.view(np.int64), np.full(len(h), i), at + a, n.astype(np.int32)])
+                    h, span, at, n, off = minimizer_runs(x[a : a + PART + length - 1], length, gram)
+                    held.append([h.view(np.int64), span.view(np.int64), np.full(len(h), i), at + a, n.astype(np.int32), off.astype(np.int32)])
                     size += len(h)
                 if size > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["h", "span", "doc_id", "at", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["h", "span", "doc_id", "at", "n", "off"])
                     held, size = [], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["h", "span", "doc_id", "at", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["h", "span", "doc_id", "at", "n", "off"])
 
     return documents.mapInArrow(run, RUN)
 
@@ -102,52 +102,54 @@ def suffix_order(prefix: np.ndarray, data: np.ndarray, starts: np.ndarray, group
             high = np.where(same, high, mid - 1)
         return low
 
-    def before(x: np.ndarray, y: np.ndarray, ties: bool) -> np.ndarray:
-        """Suffix x comes before y; where they agree, ``ties``."""
-        e = extension(x, y)
-        last = np.minimum(e, length - 1)
-        return np.where(e >= length, ties, data[x + last] < data[y + last])
-
+    def before(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Suffix x comes before y; false where they agree."""
+        differ = np.flatnonzero((prefix[x + length] - prefix[x]) * down[x] != (prefix[y + length] - prefix[y]) * down[y])
+        out = np.zeros(len(x), bool)
+        x, y = x[differ], y[differ]
+        at = np.minimum(extension(x, y), length - 1)
+        out[differ] = data[x + at] < data[y + at]
+        return out
+
+    first = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]])) if len(groups) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(first, len(groups)))
+    group_start, size = np.repeat(first, sizes), np.repeat(sizes, sizes)
     order = np.arange(len(starts))
-    first = np.concatenate([[True], groups[1:] != groups[:-1]])
-    group_start = np.maximum.accumulate(np.where(first, np.arange(len(starts)), 0))
-    ends = np.append(np.flatnonzero(first)[1:], len(starts))
-    group_end = np.repeat(ends, np.diff(np.append(np.flatnonzero(first), len(starts))))
-    position = np.arange(len(starts))
-    longest = int((group_end - group_start).max()) if len(starts) else 0
     width = 1
-    while width < longest:
-        rank = position - group_start
+    while len(sizes) and width < sizes.max():
+        position = np.flatnonzero(size > width)  # groups that are not in order yet
+        begin, end = group_start[position], group_start[position] + size[position]
+        rank = position - begin
         right = (rank // width) % 2 == 1
         left_start = position - rank % width - np.where(right, width, 0)
-        middle = np.minimum(left_start + width, group_end)
-        stop = np.minimum(left_start + 2 * width, group_end)
-        low, high = np.where(right, left_start, middle), np.where(right, middle, stop)
+        middle = np.minimum(left_start + width, end)
+        low, high = np.where(right, left_start, middle), np.where(right, middle, np.minimum(left_start + 2 * width, end))
         base = low.copy()
-        mine = starts[order]
+        sorted_ = starts[order]
         open_ = np.flatnonzero(low < high)
         while len(open_):
             mid = (low[open_] + high[open_]) >> 1
             # A suffix of the right half goes behind its equals of the left half, and one of the left half before those.
-            go = before(mine[mid], mine[open_], False)
-            tied = right[open_] & ~go
-            if tied.any():
-                go[tied] = ~before(mine[open_[tied]], mine[mid[tied]], False)
+            own, other, of_right = sorted_[position[open_]], sorted_[mid], right[open_]
+            smaller = before(np.where(of_right, own, other), np.where(of_right, other, own))
+            go = smaller ^ of_right
             low[open_] = np.where(go, mid + 1, low[open_])
             high[open_] = np.where(go, high[open_], mid)
             open_ = open_[low[open_] < high[open_]]
         to = left_start + (position - np.where(right, middle, left_start)) + (low - base)
-        merged = np.empty_like(order)
-        merged[to] = order
+        merged = order.copy()
+        merged[to] = order[position]
         order = merged
         width *= 2
     return order
 
 
-def repeated_windows(spans: list[bytes], groups: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated_windows(spans: list[bytes], groups: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All windows of the ``spans``, which are in order of occurrence within each group.
 
-    Returns the span and the place in it of each window, and whether an equal one of its group comes earlier.
+    Returns the span and the place in it of each window, whether an equal one of its group comes earlier, and two
+    hashes of it. ``offsets``: the place of the minimizer in each span. Equal windows have it at the same place, so only
+    windows of equal group and place are sorted together, and those whose hash is single there need no sorting.
     """
     sizes = np.array([len(s) for s in spans])
     bounds = np.concatenate([[0], np.cumsum(sizes)])
@@ -157,19 +159,28 @@ def repeated_windows(spans: list[bytes], groups: np.ndarray, length: int = LENGT
     place = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
     starts = bounds[owner] + place
     prefix = hashing.prefix_hashes(hashing.byte_table()[data])
-    order = suffix_order(prefix, data, starts, groups[owner], length)
-    sorted_, held = starts[order], groups[owner][order]
-    _, down = hashing.powers(len(prefix))
-    hashes = (prefix[sorted_ + length] - prefix[sorted_]) * down[sorted_]
-    equal = np.flatnonzero((hashes[1:] == hashes[:-1]) & (held[1:] == held[:-1])) + 1
+    hashes = hashing.mix(hashing.range_hashes(prefix, starts, starts + length))
+    meet = groups[owner] * (length + 1) + (offsets[owner] - place)
     later = np.zeros(len(starts), bool)
+    order = np.lexsort((owner, hashes, meet))
+    same = (meet[order[1:]] == meet[order[:-1]]) & (hashes[order[1:]] == hashes[order[:-1]])
+    paired = np.zeros(len(starts), bool)
+    paired[order[1:][same]] = True
+    paired[order[:-1][same]] = True
+    some = np.flatnonzero(paired)
+    some = some[np.argsort(meet[some], kind="stable")]  # owners stay in order within a meeting
+    rank = suffix_order(prefix, data, starts[some], meet[some], length)
+    sorted_ = some[rank]
+    equal = np.flatnonzero((hashes[sorted_[1:]] == hashes[sorted_[:-1]]) & (meet[sorted_[1:]] == meet[sorted_[:-1]])) + 1
+    reach = np.arange(length)
     for at in range(0, len(equal), 1 << 14):  # collision verification
-        some = equal[at : at + (1 << 14)]
-        reach = np.arange(length)
-        if (data[sorted_[some][:, None] + reach] != data[sorted_[some - 1][:, None] + reach]).any():
-            return owner, place, _repeated_by_bytes(spans, groups, owner, place, length)
-        later[order[some]] = True
-    return owner, place, later
+        x = equal[at : at + (1 << 14)]
+        if (data[starts[sorted_[x]][:, None] + reach] != data[starts[sorted_[x - 1]][:, None] + reach]).any():
+            later = _repeated_by_bytes(spans, groups, owner, place, length)
+            break
+        later[sorted_[x]] = True
+    other = hashing.mix(hashes ^ hashing.mix(hashing.range_hashes(hashing.prefix_hashes(hashing.byte_table(seed=2)[data]), starts, starts + length)))
+    return owner, place, later, np.stack([hashes, other]).view(np.int64)
 
 
 def _repeated_by_bytes(spans: list[bytes], groups: np.ndarray, owner: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
@@ -195,26 +206,26 @@ def _intervals(owner: np.ndarray, place: np.ndarray, hit: np.ndarray, length: in
 
 
 def _resolve(documents: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(doc_id, s, e): bytes of the ``wanted`` runs (h, doc_id, at, n) under windows that occur earlier in a run of the same minimizer."""
-    per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("h", "at", "n")).alias("runs"))  # as many as the text has
+    """(doc_id, s, e): bytes of the ``wanted`` runs (h, doc_id, at, n, off) under windows that occur earlier in a run of the same minimizer."""
+    per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("h", "at", "n", "off")).alias("runs"))  # as many as the text has
     texts = documents.join(per_doc.hint("merge"), "doc_id").select("doc_id", "text", "runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             runs = batch.column("runs")
             bounds, flat = runs.offsets.to_numpy(), runs.values
-            h, at, n = (flat.field(c).to_numpy() for c in ("h", "at", "n"))
+            h, at, n, off = (flat.field(c).to_numpy() for c in ("h", "at", "n", "off"))
             for i, x in zip(batch.column("doc_id").to_pylist(), text_rows(batch.column("text"))):
                 raw = x.tobytes()
                 k = len(bounds) and slice(bounds[0], bounds[1])
                 bounds = bounds[1:]
                 spans = [raw[a : a + m + length - 1] for a, m in zip(at[k].tolist(), n[k].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(h[k]), pa.array(np.full(len(spans), i)), pa.array(at[k]), pa.array(spans, pa.binary())], ["h", "doc_id", "at", "span"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[k]), pa.array(np.full(len(spans), i)), pa.array(at[k]), pa.array(off[k]), pa.array(spans, pa.binary())], ["h", "doc_id", "at", "off", "span"])
 
-    spans = texts.mapInArrow(cut, "h bigint, doc_id bigint, at bigint, span binary")
+    spans = texts.mapInArrow(cut, "h bigint, doc_id bigint, at bigint, off int, span binary")
     parts = wanted.groupBy("h").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
     met = spans.join(parts.hint("merge"), "h").withColumn("part", F.pmod(F.xxhash64("doc_id", "at"), F.col("parts")).cast("int"))
-    met = met.repartition("h", "part").sortWithinPartitions("h", "part", "doc_id", "at").select("h", "part", "parts", "doc_id", "at", "span")
+    met = met.repartition("h", "part").sortWithinPartitions("h", "part", "doc_id", "at").select("h", "part", "parts", "doc_id", "at", "span", "off")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "s", "e", "first", "check"]
@@ -224,18 +235,17 @@ def _resolve(documents: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
         def close() -> pa.RecordBatch:
             keys = [r[:2] for r in rows]
             groups = np.cumsum([0, *(a != b for a, b in zip(keys[1:], keys[:-1]))])
-            owner, place, later = repeated_windows([r[5] for r in rows], groups, length)
+            owner, place, later, hashes = repeated_windows([r[5] for r in rows], groups, np.array([r[6] for r in rows]), length)
             out = [(rows[o][3], rows[o][4] + a, rows[o][4] + b, None, None) for o, a, b in _intervals(owner, place, later, length)]
             # First occurrences in a part of a split group, to be held against those of the other parts.
-            split = np.array([r[2] > 1 for r in rows])
-            for o, p in zip(*(x[~later & split[owner]].tolist() for x in (owner, place))):
-                digest = hashlib.blake2b(rows[o][5][p : p + length], digest_size=16).digest()
-                out.append((rows[o][3], rows[o][4] + p, rows[o][4] + p + length, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)))
+            split = np.flatnonzero(~later & np.array([r[2] > 1 for r in rows])[owner])
+            for o, p, one, two in zip(*(x[split].tolist() for x in (owner, place, hashes[0], hashes[1]))):
+                out.append((rows[o][3], rows[o][4] + p, rows[o][4] + p + length, one, two))
             cols = list(zip(*out)) or [()] * 5
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("h", "part", "parts", "doc_id", "at", "span"))):
+            for r in zip(*(batch.column(c).to_pylist() for c in ("h", "part", "parts", "doc_id", "at", "span", "off"))):
                 if windows >= WINDOWS and r[:2] != rows[-1][:2]:
                     yield close()
                     rows, windows = [], 0
@@ -263,11 +273,11 @@ def removed_intervals(documents: DataFrame, length: int = LENGTH, gram: int = GR
     several = classes.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h", F.lit(True).alias("several"))
     marked = classes.join(several.hint("merge"), "h", "left")
     judged = materialize(
-        again.join(marked.hint("merge"), ["h", "span"]).where("place > first or several").select("h", "doc_id", "at", "n", (F.col("place") > F.col("first")).alias("late")), "suffix-judged"
+        again.join(marked.hint("merge"), ["h", "span"]).where("place > first or several").select("h", "doc_id", "at", "n", "off", (F.col("place") > F.col("first")).alias("late")), "suffix-judged"
     )
     discard(again)
     whole = judged.where("late").select("doc_id", F.col("at").alias("s"), (F.col("at") + F.col("n") + length - 1).alias("e"))
-    rims = _resolve(documents, judged.where("not late").select("h", "doc_id", "at", "n"), length)
+    rims = _resolve(documents, judged.where("not late").select("h", "doc_id", "at", "n", "off"), length)
     return whole.unionByName(rims)
 
 
