@@ -177,6 +177,8 @@ def read_archive(source, chunk: int = CHUNK) -> Iterator[dict]:
                 break
         if member.upto(b"\r\n\r\n") is None:
             raise ValueError("a record has no end")
+    if member.ready.strip() or member.pack is not None:
+        raise ValueError("the archive is cut off")
 
 
 def read_archives(manifest: DataFrame, chunk: int = CHUNK, place: str = "", payloads: bool = True) -> DataFrame:
