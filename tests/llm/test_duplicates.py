@@ -65,8 +65,9 @@ def variants(rng, n=60):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_jaccard_join(docs, seed):
+@pytest.mark.parametrize(("seed", "group"), [(1, 256), (2, 2)])
+def test_jaccard_join(docs, monkeypatch, seed, group):
+    monkeypatch.setattr(jaccard_join, "GROUP", group)
     rng = random.Random(seed)
     texts = variants(rng) + [None, "", " \n", "a b", "A  b", "a b c", "x" * 5000]
     texts += [texts[0]] * 5
@@ -86,7 +87,7 @@ def test_jaccard_edges(spark, docs):
     assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in rows) == [(0, 2, 0), (4, 2, 4), (5, 2, 4), (5, 2, 4), (7, 0, 7)]
 
 
-def test_tree_join_equals_set_arithmetic():
+def test_prefix_tree_equals_set_arithmetic():
     rng = np.random.default_rng(4)
     sketch = rng.integers(1, 5, 1 << jaccard_join.SKETCH_BITS)
     make = lambda values: jaccard_join._ranked(np.unique(np.array(values, np.uint64) * np.uint64(0x9E3779B97F4A7C15)), sketch)
@@ -96,10 +97,15 @@ def test_tree_join_equals_set_arithmetic():
         m = base.copy()
         m[rng.integers(0, 60, i % 16)] = rng.integers(0, 1000, i % 16)
         members.append(make(m[: rng.integers(45, 61)]))
-    probe = make(base)
-    tokens = lambda x: set(x["at"]["token"].tolist())
-    expected = [100 * len(tokens(probe) & tokens(m)) >= 85 * len(tokens(probe) | tokens(m)) for m in members]
-    assert jaccard_join.tree_join(probe, members) == expected and any(expected) and not all(expected)
+    sets = [make(base), *members]
+    tokens = [set(x["at"]["token"].tolist()) for x in sets]
+    tree = jaccard_join.PrefixTree(sets)
+    for p in (30, 1, 0):
+        expected = {i for i, t in enumerate(tokens) if 100 * len(tokens[p] & t) >= 85 * len(tokens[p] | t)}
+        assert set(tree.linked(p, [True] * len(sets))) == expected
+        odd = [bool(i % 2) for i in range(len(sets))]
+        assert set(tree.linked(p, odd)) == {i for i in expected if i % 2}
+    assert 1 < len(expected) < len(sets)
 
 
 def plain_dedup(texts):

@@ -5,9 +5,10 @@ similarity reaches the threshold share a shingle within their prefixes of that o
 Candidates are then compared by a prefix tree: the candidates of one probe, as ordered sequences, are walked depth first; the
 overlap of a shared beginning is counted once, and a subtree is left as soon as what remains cannot reach the threshold.
 
-Groups are never expanded into all their pairs. First each class is compared with few leaders among those it shares prefix shingles
-with, which joins cohesive groups in linear time; then, for exactness, only pairs of different components that
-still share enough prefix shingles are compared. No candidate is dropped but by a bound that proves it no link.
+Groups are never expanded into rows of pairs. Each class is paired with few leaders among those it shares prefix
+shingles with; classes that such pairs connect, where the bounds allow a link, are a cluster, and the sets of a cluster meet
+in blocks of bounded size that give out spanning links only. Pairs of different clusters are few, and those that
+the bounds allow are compared too, so that no link is lost.
 
 Defined results: a null, empty or blank text has an empty set and is linked with nothing; equal sets have similarity 1;
 a row repeated in full is judged like its copy. A row without doc_id is counted but joins no component. Other columns
@@ -30,7 +31,7 @@ WORDS = 4
 PERCENT = 85
 #: Cells of the count sketch that orders shingles: fixed, so its size does not follow the corpus.
 SKETCH_BITS = 18
-#: Candidates of one probe that a task holds at a time.
+#: Sets of a chunk; a block holds two chunks.
 GROUP = 256
 
 
@@ -109,38 +110,49 @@ def _prefixes(documents: DataFrame, k: int, percent: int, sketch) -> DataFrame:
     return documents.select("text").mapInArrow(run, "token bigint, cls bigint, n int")
 
 
-def tree_join(probe: np.ndarray, members: list[np.ndarray], percent: int = PERCENT) -> list[bool]:
-    """Which of the ``members`` reach the similarity with ``probe``. All are sequences in one global order.
-
-    The sorted members are the prefix tree: the longest common beginning with the one before is the depth of the branch.
-    """
-    sizes = [len(m) for m in members]
-    _, codes = np.unique(np.concatenate([probe["at"], *(m["at"] for m in members)]), return_inverse=True)
-    probe_codes = codes[: len(probe)]
-    in_probe = np.zeros(int(codes.max()) + 1, bool)
-    in_probe[probe_codes] = True
-    after = len(probe) - np.cumsum(in_probe)  # how much of the probe stands beyond each token
-    bounds = np.cumsum([len(probe), *sizes])
-    rows = [codes[a:b].astype(np.uint32) for a, b in zip(bounds[:-1], bounds[1:])]
-    out = [False] * len(members)
-    least = (percent * len(probe) + 99) // 100
-    before, overlap, cut = np.zeros(0, np.uint32), np.zeros(0, np.int64), None
-    for i in sorted(range(len(members)), key=lambda j: rows[j].astype(">u4").tobytes()):
-        row, n = rows[i], sizes[i]
-        m = min(len(before), n)
-        differ = np.flatnonzero(row[:m] != before[:m])
-        shared = int(differ[0]) if len(differ) else m
-        if cut is not None and shared > cut:
-            continue  # in a subtree that was left
-        start = overlap[shared - 1] if shared else 0
-        rest = row[shared:]
-        overlap = np.concatenate([overlap[:shared], start + np.cumsum(in_probe[rest])])
-        hopeless = np.flatnonzero(overlap + after[row] < least)
-        before, cut = row, int(hopeless[0]) if len(hopeless) else None
-        if cut is None:
-            o = int(overlap[-1]) if n else 0
-            out[i] = 100 * o >= percent * (len(probe) + n - o)
-    return out
+class PrefixTree:
+    """Sets as sequences in one global order, sorted: the common beginning with the set before is the depth of the branch."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = [len(x) for x in sets]
+        _, codes = np.unique(np.concatenate([x["at"] for x in sets]), return_inverse=True)
+        bounds = np.cumsum([0, *self.sizes])
+        self.rows = [codes[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+        self.codes = int(codes.max()) + 1 if len(codes) else 0
+        self.order = sorted(range(len(sets)), key=lambda j: self.rows[j].astype(">u4").tobytes())
+        self.depth = [0]
+        for a, b in zip(self.order[:-1], self.order[1:]):
+            m = min(self.sizes[a], self.sizes[b])
+            differ = np.flatnonzero(self.rows[a][:m] != self.rows[b][:m])
+            self.depth.append(int(differ[0]) if len(differ) else m)
+
+    def linked(self, probe: int, wanted: list[bool], percent: int = PERCENT) -> list[int]:
+        """Which of the ``wanted`` sets reach the similarity with set ``probe``.
+
+        Depth first; the overlap of a shared beginning is counted once. A subtree is left where the overlap so far and all
+        that the probe has beyond cannot make ``percent`` of the probe itself.
+        """
+        n = self.sizes[probe]
+        in_probe = np.zeros(self.codes, bool)
+        in_probe[self.rows[probe]] = True
+        after = n - np.cumsum(in_probe)
+        least = (percent * n + 99) // 100
+        found, overlap, cut, shared = [], np.zeros(0, np.int64), None, 0
+        for i, depth in zip(self.order, self.depth):
+            shared = min(shared, depth)  # with the set that was walked last
+            size = self.sizes[i]
+            if not wanted[i] or (cut is not None and shared > cut) or 100 * min(n, size) < percent * max(n, size):
+                continue
+            row = self.rows[i]
+            start = overlap[shared - 1] if shared else 0
+            overlap = np.concatenate([overlap[:shared], start + np.cumsum(in_probe[row[shared:]])])
+            hopeless = np.flatnonzero(overlap + after[row] < least)
+            cut, shared = (int(hopeless[0]) if len(hopeless) else None), size
+            if cut is None and size:
+                o = int(overlap[-1])
+                if 100 * o >= percent * (n + size - o):
+                    found.append(i)
+        return found
 
 
 def _ranked(tokens: np.ndarray, sketch: np.ndarray) -> np.ndarray:
@@ -151,48 +163,58 @@ def _ranked(tokens: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     return out
 
 
-def _verified(documents: DataFrame, pairs: DataFrame, k: int, percent: int, sketch) -> DataFrame:
-    """Those of the ``pairs`` (a, b) of doc_ids whose texts reach the similarity."""
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts"))
-    salted = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
-    members = salted.select(F.col("b").alias("id"), F.col("a").alias("probe"), "salt", F.lit(1).alias("role"))
-    probes = sizes.select(F.col("a").alias("id"), F.col("a").alias("probe"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
-    wanted = members.unionByName(probes)
+def _blocks(documents: DataFrame, members: DataFrame, k: int, percent: int, sketch) -> DataFrame:
+    """Links (a, b) among the ``members`` (grp, id, side) of each group, as a spanning forest of each block.
+
+    Members of side 0 are compared with all others, those of side 1 with side 0 only. A group is cut into
+    chunks of GROUP members, and each two chunks meet in one block, which holds their sets as one prefix tree.
+    """
+    sizes = members.groupBy("grp").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("chunks"))
+    chunked = members.join(sizes, "grp").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    met = chunked.select("grp", "id", "side", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    met = met.select("grp", "id", "side", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
     # Always shuffled by id, so that the plan is the same however few or many candidates there are.
-    rows = documents.select(F.col("doc_id").alias("id"), "text").join(wanted.hint("merge"), "id")
-    rows = rows.repartition("probe", "salt").sortWithinPartitions("probe", "salt", "role", "id").select("probe", "salt", "role", "id", "text")
-
-    def flush(group: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
-        probes = [t for role, _, t in group if role == 0]
-        members = [(i, t) for role, i, t in group if role == 1]
-        found = set()
-        for p in probes:
-            if len(p):
-                for (i, _), ok in zip(members, tree_join(p, [t for _, t in members], percent) if members else []):
-                    if ok:
-                        found.add(i)
-        return sorted(found)
+    rows = documents.select(F.col("doc_id").alias("id"), "text").join(met.hint("merge"), "id")
+    rows = rows.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "chunk", "id").select("grp", "i", "j", "chunk", "id", "side", "text")
+
+    def block(key: tuple, group: list[tuple[int, int, int, np.ndarray]]) -> Iterator[tuple[int, int]]:
+        group = [g for g in group if len(g[3])]
+        if len(group) < 2:
+            return
+        tree, root = PrefixTree([g[3] for g in group]), list(range(len(group)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for p, (chunk, a, side, _) in enumerate(group):
+            # Each pair once: with a later one of the same chunk, or with one of the other chunk. Those already joined need no comparison.
+            mine = find(p)
+            wanted = [find(q) != mine and (q > p if chunk == c or key[1] == key[2] else p < q) and not (side and s) and a != b for q, (c, b, s, _) in enumerate(group)]
+            if key[1] != key[2]:
+                wanted = [w and c != chunk for w, (c, *_) in zip(wanted, group)]
+            for q in tree.linked(p, wanted, percent) if any(wanted) else ():
+                x, y = find(p), find(q)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    yield a, group[q][1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, group, a, b = None, [], [], []
-
-        def close() -> None:
-            if now is not None:
-                for i in flush(group):
-                    a.append(now[0])
-                    b.append(i)
-
+        now, group, links = None, [], []
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*links) if links else ((), ()))], ["a", "b"])
         for batch in batches:
-            keys = zip(*(batch.column(c).to_pylist() for c in ("probe", "salt", "role", "id")))
-            for (probe, salt, role, i), tokens in zip(keys, _sets(batch, k)):
-                if (probe, salt) != now:
-                    close()
-                    now, group = (probe, salt), []
-                group.append((role, i, _ranked(tokens, sketch.value)))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-            a, b = [], []
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            keys = zip(*(batch.column(c).to_pylist() for c in ("grp", "i", "j", "chunk", "id", "side")))
+            for (grp, i, j, chunk, doc, side), tokens in zip(keys, _sets(batch, k)):
+                if (grp, i, j) != now:
+                    links.extend(block(now, group) if now else ())
+                    now, group = (grp, i, j), []
+                group.append((chunk, doc, side, _ranked(tokens, sketch.value)))
+            yield out()
+            links = []
+        links.extend(block(now, group) if now else ())
+        yield out()
 
     return rows.mapInArrow(run, "a bigint, b bigint")
 
@@ -239,25 +261,25 @@ def ngram_jaccard_join(documents: DataFrame, k: int = WORDS, percent: int = PERC
     size = classes.groupBy(F.col("fp1").alias("lead")).agg(F.max("n").cast("int").alias("lead_n"))
     pairs = pairs.join(size, "lead").where(_sizes_fit(F.col("n"), F.col("lead_n"), percent))
     possible = _possible(pairs.select(F.col("lead").alias("one"), F.col("lead_n").alias("n1"), F.col("cls").alias("two"), F.col("n").alias("n2"), "k"), classes, percent)
-    best = possible.groupBy("b").agg(F.max_by("a", "k").alias("a")).select("a", "b")
-    tried = materialize(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
-    links = materialize(_verified(d, tried, k, percent, sketch), "jaccard-links")
+    # Classes joined by such pairs are one cluster, and all pairs within a cluster are compared, in blocks.
+    possible = materialize(possible.select("a", "b"), "jaccard-possible")
+    clusters = materialize(connected_components(possible), "jaccard-clusters")
+    links = materialize(_blocks(d, clusters.select(F.col("component").alias("grp"), "id", F.lit(0).alias("side")), k, percent, sketch), "jaccard-links")
 
-    components = materialize(connected_components(links), "jaccard-components")
-    of_class = classes.select(F.col("fp1").alias("cls"), "rep").join(components, F.col("rep") == F.col("id"), "left").select("cls", F.coalesce("component", "rep").alias("component"))
+    # Pairs of different clusters: those whose common prefix shingles allow a link.
+    of_class = classes.select(F.col("fp1").alias("cls"), "rep").join(clusters, F.col("rep") == F.col("id"), "left").select("cls", F.coalesce("component", "rep").alias("cluster"))
     placed = shared.select("token", "cls", "n").join(of_class, "cls")
-    split = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("token")
+    split = placed.groupBy("token").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y")).where("x != y").select("token")
     open_ = materialize(placed.join(split, "token"), "jaccard-open")
-    one = open_.select("token", F.col("cls").alias("one"), F.col("n").alias("n1"), F.col("component").alias("c1"))
-    two = open_.select("token", F.col("cls").alias("two"), F.col("n").alias("n2"), F.col("component").alias("c2"))
+    discard(shared)
+    one, two = (open_.select("token", F.col("cls").alias(name), F.col("n").alias(f"n{i}"), F.col("cluster").alias(f"c{i}")) for i, name in ((1, "one"), (2, "two")))
     rest = one.join(two.hint("merge"), "token").where((F.col("c1") < F.col("c2")) & _sizes_fit(F.col("n1"), F.col("n2"), percent))
     rest = rest.groupBy("one", "n1", "two", "n2").agg(F.count("*").alias("k"))
-    rest = _possible(rest, classes, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = materialize(rest.join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
-    discard(shared)
+    rest = materialize(_possible(rest, classes, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-rest")
     if not rest.isEmpty():
-        more = materialize(_verified(d, rest, k, percent, sketch), "jaccard-more")
-        components = materialize(connected_components(links.unionByName(more)), "jaccard-components")
+        sides = rest.select(F.col("a").alias("grp"), F.col("b").alias("id"), F.lit(1).alias("side")).unionByName(rest.select(F.col("a").alias("grp"), F.col("a").alias("id"), F.lit(0).alias("side")).distinct())
+        links = links.unionByName(materialize(_blocks(d, sides, k, percent, sketch), "jaccard-more"))
+    components = materialize(connected_components(links), "jaccard-components")
 
     known = classes.join(components, F.col("rep") == F.col("id"), "left").select("fp1", "fp2", "n", F.coalesce("component", "rep").alias("component"))
     rows = sets.select("doc_id", "n", "fp1", "fp2").join(known, ["fp1", "fp2", "n"], "left")
