@@ -30,7 +30,7 @@ from tidemark.llm.common import connected_components, discard, materialize, text
 WORDS = 4
 PERCENT = 85
 #: Cells of the count sketch that orders shingles: fixed, so its size does not follow the corpus.
-SKETCH_BITS = 18
+SKETCH_BITS = 19
 #: Sets of a chunk; a block holds two chunks.
 GROUP = 256
 
