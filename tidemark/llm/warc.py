@@ -32,6 +32,8 @@ from tidemark.llm.common import materialize, workspace
 CHUNK = 1 << 16
 #: base32 digits in order.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: Tasks that read archives, at most; beyond it a task reads several.
+READERS = 20_000
 #: A record's time; archives of the same rows are then the same.
 DATE = "2024-01-01T00:00:00Z"
 
@@ -211,8 +213,8 @@ def read_archives(manifest: DataFrame, chunk: int = CHUNK, place: str = "", payl
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    # A file each task: the manifest is a row for each archive.
-    spread = manifest.select("archive").repartition(F.col("archive"))
+    # About an archive each task: the manifest has a row for each, and a stated number is not coalesced.
+    spread = manifest.select("archive").repartition(min(max(manifest.count(), 1), READERS))
     return spread.mapInArrow(run, "page_id bigint, url string, type string, refers_to bigint, payload_bytes bigint, payload_digest string, chunk_no int, chunk binary, last boolean")
 
 
