@@ -14,6 +14,8 @@ from tidemark.llm import jaccard_join, language_id, packing, quality_classifier,
 from tidemark.llm.common import materialize
 
 COLUMNS = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
+#: Near duplicates of the pipeline: wider than the op3 query, so that copies with spread one-word edits go too.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -34,9 +36,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that the n-gram Jaccard join links, the one of smallest id; once where it stands in several rows."""
+    """One document of each group that shingles of NEAR_WORDS words link at NEAR_PERCENT, the one of smallest id; once where it stands in several rows."""
     docs = _documents(docs)
-    groups = jaccard_join.ngram_jaccard_join(docs)
+    groups = jaccard_join.ngram_jaccard_join(docs, k=NEAR_WORDS, percent=NEAR_PERCENT)
     drop = materialize(groups.where("component_id != doc_id").select("doc_id").distinct(), "pipeline-near")
     # Rows repeated in full are near duplicates too.
     twice = materialize(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-twice")

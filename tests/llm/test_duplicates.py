@@ -81,6 +81,28 @@ def test_jaccard_join(docs, monkeypatch, seed, group):
     assert [(rows[i].n_shingles, rows[i].component_id) for i in range(len(texts))] == [(len(s), c) for s, c in zip(sets, expected)]
 
 
+def test_pipeline_near_duplicates(spark, docs):
+    """Which documents stay, at five words and 0.8; spread one-word edits lie between that and the limits of op3."""
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    texts = variants(rng, 30) + [None, "", "a b c d"]
+    for n, edits in ((50, 1), (100, 2), (150, 3), (1000, 21)):
+        base = [f"u{rng.randrange(10**6)}" for _ in range(n)]
+        copy = list(base)
+        for e in range(edits):
+            copy[(2 * e + 1) * n // (2 * edits)] = f"edit{e}"
+        texts += [" ".join(base), " ".join(copy)]
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} - {()})
+    near = lambda i, j: sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+    expected = components(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if near(i, j)])
+    got = corpus_pipeline.near_duplicates(spark, docs(texts), "").collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(i, t) for i, t in enumerate(texts) if expected[i] == i]
+
+
 def test_jaccard_edges(spark, docs):
     assert jaccard_join.ngram_jaccard_join(docs([]).limit(0)).count() == 0
     rows = jaccard_join.ngram_jaccard_join(docs([(None, "a b c d e"), (5, "a b c d e"), (5, "a b c d e"), (4, "A b c d e"), (7, None)])).collect()
