@@ -103,6 +103,27 @@ def test_language_held_out(spark):
     assert np.mean([r.rejected for r in rows]) <= 0.02
 
 
+UNLEARNED = [
+    "Вчера мы с друзьями пошли в новую библиотеку и прочитали там много интересных книг.",
+    "Wczoraj poszliśmy z przyjaciółmi do nowej biblioteki i przeczytaliśmy tam wiele ciekawych książek.",
+    "私は昨日友達と一緒に新しい図書館へ行きました。そこで多くの本を読みました。",
+    "Dün arkadaşlarımla yeni kütüphaneye gittik ve orada birçok ilginç kitap okuduk.",
+    "Eilen menimme ystävien kanssa uuteen kirjastoon ja luimme siellä monta mielenkiintoista kirjaa.",
+    "Χθες πήγαμε με φίλους στη νέα βιβλιοθήκη και διαβάσαμε πολλά ενδιαφέροντα βιβλία.",
+]
+
+
+def test_unlearned_languages_are_rejected(spark):
+    """Also where some labelled rows are digits or bear the wrong language."""
+    clean = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    odd = [(10**6 + i, f"{i} " * 30, "de") for i in range(20)] + [(2 * 10**6 + i, "The river runs down to the harbour and the old town.", "fr") for i in range(2)]
+    foreign = [(3 * 10**6 + i, t, None) for i, t in enumerate(UNLEARNED)]
+    d = clean.unionByName(spark.createDataFrame(odd + foreign, "doc_id bigint, text string, lang string"))
+    rows = language_id.language_id(d).collect()
+    assert all(r.rejected for r in rows if r.doc_id >= 3 * 10**6)
+    assert np.mean([not r.rejected for r in rows if r.doc_id < 10**6]) >= 0.98
+
+
 def test_language_edges(spark, docs):
     texts = ["the quick brown fox and the dog " * 3, "der schnelle braune Fuchs und die Katze " * 3] * 30 + [None, "", "123 !?", "—", "É"]
     langs = ["en", "de"] * 30 + [None] * 5

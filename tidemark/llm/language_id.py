@@ -3,10 +3,11 @@
 Each run of 2 to 4 bytes of the case-folded text hashes to a row of an embedding table; a document is the mean of its
 rows, and a linear softmax reads the language off it. Table and softmax are trained together by stochastic gradient
 descent in numpy on a bounded sample per language. A temperature fitted on a part of the sample kept from training
-calibrates the probabilities, and a low quantile of the true language's probability there is the rejection threshold.
+calibrates the probabilities; its targets are smoothed, so that a part without an error does not make every score 1. The
+rejection threshold is a low quantile of the winning probability over the documents of that part that were read rightly.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and rejected. With no language to learn
-from, every document is ``und``. Rows without doc_id are predicted and never train.
+from, every document is ``und``. Rows without doc_id are predicted and never train, nor do texts without a letter.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ BUCKETS, DIM, SIZES = 1 << 13, 16, (2, 3, 4)
 PER_LANGUAGE = 1_200
 EPOCHS, BATCH, RATE = 12, 32, 0.5
 #: Of documents like those of the calibration part, this share is rejected.
-REJECTED_SHARE = 0.001
+REJECTED_SHARE = 0.005
+#: So many of the lowest calibration scores never decide the threshold; it is at most HIGHEST.
+SPARED, HIGHEST = 2, 0.9
 UNDETERMINED = "und"
 
 
@@ -88,9 +91,19 @@ class LanguageModel:
 
 
 def _log_loss(z: np.ndarray, y: np.ndarray, temperature: float) -> float:
+    """Against targets that give 1 / (rows + 2) to all languages alike."""
     z = z / temperature
     z = z - z.max(1, keepdims=True)
-    return float((np.log(np.exp(z).sum(1)) - z[np.arange(len(y)), y]).mean())
+    smooth = 1 / (len(y) + 2)
+    return float((np.log(np.exp(z).sum(1)) - (1 - smooth) * z[np.arange(len(y)), y] - smooth * z.mean(1)).mean())
+
+
+def _threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """A low quantile of the winning probability where the winner is right; a few odd rows do not move it."""
+    top = np.sort(p.max(1)[p.argmax(1) == y])
+    if not len(top):
+        return 0.0
+    return min(float(top[min(max(int(REJECTED_SHARE * len(top)), SPARED), len(top) - 1)]), HIGHEST)
 
 
 #: The buckets a document hits, and how often.
@@ -140,8 +153,8 @@ def fit(docs: list[Sparse], langs: list[str], seed: int = 11) -> LanguageModel:
     grid = np.geomspace(0.02, 5, 60)
     temperature = float(grid[np.argmin([_log_loss(z, y[aside], t) for t in grid])])
     p = np.exp((z - z.max(1, keepdims=True)) / temperature)
-    truth = (p / p.sum(1, keepdims=True))[np.arange(len(aside)), y[aside]]
-    threshold = min(float(np.quantile(truth, REJECTED_SHARE, method="lower")), 0.9)
+    p /= p.sum(1, keepdims=True)
+    threshold = _threshold(p, y[aside])
     return LanguageModel(names, e, w, b, temperature, threshold)
 
 
@@ -170,6 +183,7 @@ def train(documents: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageMod
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array([has_letter(x) for x in text_rows(batch.column("text"))], pa.bool_()))
             found = [subword_counts(x) for x in text_rows(batch.column("text"))]
             hit = [np.flatnonzero(c) for c in found]
             yield pa.RecordBatch.from_arrays(
