@@ -233,6 +233,38 @@ def test_embeddings(spark):
     assert all(r.kept == (r.component_id == r.vec_id) for r in got.values())
 
 
+def test_embeddings_dense_range(spark):
+    """Pairs at 0.96 within a third of the rows that are at 0.8 to each other, with small blocks."""
+    rng = np.random.default_rng(12)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    n, dim, pairs = 4000, 32, 300
+    c = unit(rng.standard_normal((1, dim)))
+    off = lambda k: unit((r := rng.standard_normal((k, dim))) - r @ c.T * c)
+    one = off(n // 3)
+    w = off(pairs)
+    w = unit(w - (w * one[:pairs]).sum(1, keepdims=True) * one[:pairs])
+    two = 0.8 * one[:pairs] + 0.6 * w
+    x = np.concatenate([np.sqrt(0.8) * c + np.sqrt(0.2) * one, unit(rng.standard_normal((n - n // 3, dim))), np.sqrt(0.8) * c + np.sqrt(0.2) * two])
+    order = rng.permutation(len(x))
+    df = spark.createDataFrame([(int(i), x[k].tolist()) for i, k in enumerate(order)], "vec_id bigint, embedding array<double>").repartition(4)
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df, block=8).collect()}
+    near = x[order] @ x[order].T >= 0.95
+    np.fill_diagonal(near, False)
+    expected = near.sum(1)
+    assert expected.sum() >= 2 * pairs
+    assert 0.99 * expected.sum() <= sum(got.values()) <= expected.sum()
+
+
+def test_spanning_forest_of_a_matrix():
+    rng = np.random.default_rng(2)
+    near = rng.random((90, 90)) < 0.01
+    near = (near | near.T) & ~np.eye(90, dtype=bool)
+    a, b = embedding_dedup.spanning(near)
+    assert near[a, b].all()
+    assert components(90, zip(a.tolist(), b.tolist())) == components(90, np.argwhere(near).tolist())
+    assert len(a) == 90 - len(set(components(90, np.argwhere(near).tolist())))
+
+
 def test_embeddings_empty_and_repeated(spark):
     schema = "vec_id bigint, embedding array<float>, label int"
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], schema)).count() == 0

@@ -1,14 +1,14 @@
-"""Embedding near-duplicates by sorted projection passes (operator 5).
+"""Embedding near-duplicates by passes of nearest pivots (operator 5).
 
-Each pass hashes every vector by the signs of random projections and sorts all vectors by the concatenated bits. Vectors
-are compared, in double precision, with those of their own and of the next block of the sorted order, and the pairs
-that reach the threshold unite. Blocks are cut by ranges of the sorted key, so no pass gathers the table. The passes only have to connect a
-cluster: links are then counted exactly among all vectors of each component, block by block, without emitting
-them. Equal vectors are one class throughout and count with their number.
+Each pass draws vectors as pivots, one for BLOCK rows, and places every vector in the cells of its NEAREST pivots; all vectors
+of a cell are compared, in double precision, and the pairs that reach the threshold unite. Pivots are drawn from the rows, so a
+dense part of the space is cut as finely as the rest. The passes only have to connect a cluster: links are then
+counted exactly among all vectors of each component, block by block, without emitting them. Equal vectors are one
+class throughout and count with their number.
 
-Recall: a pair is missed only if no pass puts its component's vectors into neighbouring blocks. With 64 sign bits a pair at
-cosine 0.95 agrees in each bit with probability 0.9, and a pass of blocks of 512 of a few million vectors needs about
-a dozen leading bits to agree; passes are independent. The tests measure recall against brute force.
+Recall: a pair is missed only if no pass puts its component's vectors into one cell. How often that happens depends on the number
+and the density of the rows, so passes are added until the pivots have brought TARGET of many probes together: rows of the
+table, each with a made-up partner just at the threshold, off in a random direction or along its neighbourhood.
 
 Defined results: a vector that is null, zero, or holds null or non-finite components, and one whose length differs from
 another's, links with nothing there; it is a component of its own and kept. Repeated rows are judged each by their id.
@@ -23,12 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, forest, materialize
+from tidemark.llm.common import connected_components, materialize
 
 THRESHOLD = 0.95
-PASSES = 8
-#: Sorted neighbours: at least so many on either side of each vector are compared.
+#: Rows for each pivot; tables of fewer rows are compared whole.
 BLOCK = 512
+#: Cells that a vector is placed in.
+NEAREST = 4
+#: Share of the probes that meet before passes end, the number of probes, and the most passes.
+TARGET, PROBES, PASSES = 0.999, 2000, 32
+#: Numbers in the pivots of one pass, of all lengths of vectors together; beyond, cells grow with the table.
+PIVOT_NUMBERS = 1 << 22
 #: Vectors of one component that a task compares with as many others.
 CHUNK = 1024
 
@@ -62,110 +67,120 @@ def _classes(good: DataFrame) -> DataFrame:
     return rows.select("rep", "dim", "copies", "v").mapInArrow(unit, "rep bigint, dim int, copies bigint, u array<double>")
 
 
-def sort_keys(u: np.ndarray, seed: int) -> np.ndarray:
-    """63 random sign bits of each row, the first hash highest."""
-    planes = np.random.default_rng([seed, u.shape[1]]).standard_normal((u.shape[1], 63))
-    return (u @ planes > 0).astype(np.int64) @ (1 << np.arange(62, -1, -1, dtype=np.int64))
-
-
-def _keyed(classes: DataFrame, seed: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def nearest(u: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Indices of the NEAREST pivots of each row."""
+    pivots = pivots.astype(np.float32)
+    m = min(NEAREST, len(pivots))
+    out = [np.argpartition(-(u[at : at + 1024].astype(np.float32) @ pivots.T), m - 1, axis=1)[:, :m] for at in range(0, len(u), 1024)]
+    return np.concatenate(out) if out else np.zeros((0, m), np.int64)
+
+
+def probes(rows: np.ndarray, threshold: float, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The rows and a partner of each at cosine ``threshold``: by turns off at random and along the difference of two close rows."""
+    rng = np.random.default_rng(seed)
+    off = rng.standard_normal(rows.shape)
+    if len(rows) > 16:
+        close = np.argpartition(-(rows @ rows.T), 16, axis=1)[:, :17]
+        pick = np.argsort(rng.random(close.shape), axis=1)[:, :2]
+        x, y = (rows[close[np.arange(len(rows)), pick[:, k]]] for k in (0, 1))
+        off[1::2] = (x - y)[1::2]
+    off -= (off * rows).sum(1, keepdims=True) * rows
+    size = np.linalg.norm(off, axis=1, keepdims=True)
+    off /= np.where(size > 1e-9, size, 1)
+    return rows, threshold * rows + np.sqrt(max(0.0, 1 - threshold**2)) * off
+
+
+def meet(one: np.ndarray, two: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Which of the pairs share a cell."""
+    return (nearest(one, pivots)[:, :, None] == nearest(two, pivots)[:, None, :]).any((1, 2))
+
+
+def _drawn(classes: DataFrame, wanted: dict[int, int], counts: dict[int, int], seed: int) -> dict[int, np.ndarray]:
+    """About ``wanted`` vectors of each length, one at least, chosen by a hash of the id."""
+    share = F.create_map(*(F.lit(x) for d, n in wanted.items() for x in (d, min(1.0, 1.2 * (n + 10) / counts[d]))))
+    hash_ = F.pmod(F.xxhash64("rep", F.lit(seed)), F.lit(1 << 30))
+    rows = classes.where(hash_ < share[F.col("dim")] * (1 << 30)).select("dim", "u", hash_.alias("hash"), "rep").toArrow().sort_by([("hash", "ascending"), ("rep", "ascending")])
+    dims = rows.column("dim").to_numpy()
+    return {int(d): _matrix(rows.column("u").take(pa.array(np.flatnonzero(dims == d)[: wanted[d]]))) for d in np.unique(dims)}
+
+
+def spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of a symmetric boolean matrix, breadth first."""
+    left, a, b = np.ones(len(near), bool), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in np.flatnonzero(near.any(1)).tolist():
+        front = np.array([i])
+        if not left[i]:
+            continue
+        left[i] = False
+        while len(front):
+            rows = near[front] & left
+            found = np.flatnonzero(rows.any(0))
+            a.append(front[rows[:, found].argmax(0)])
+            b.append(found)
+            left[found] = False
+            front = found
+    return np.concatenate(a), np.concatenate(b)
+
+
+def cell_edges(ids: np.ndarray, u: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links among the vectors of one cell, as spanning forests of its blocks of two chunks."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(0, len(ids), CHUNK):
+        for j in range(i, len(ids), CHUNK):
+            near = u[i : i + CHUNK] @ u[j : j + CHUNK].T >= threshold
+            if i == j:
+                np.fill_diagonal(near, False)
+                x, y = spanning(near)
+                at = np.arange(i, i + len(near))
+            else:
+                rows, cols = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+                both = np.zeros((len(rows) + len(cols),) * 2, bool)
+                both[: len(rows), len(rows) :] = near[np.ix_(rows, cols)]
+                x, y = spanning(both | both.T)
+                at = np.concatenate([i + rows, j + cols])
+            a.append(ids[at[x]])
+            b.append(ids[at[y]])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _pass(classes: DataFrame, pivots: dict[int, np.ndarray], threshold: float) -> DataFrame:
+    """Edges (a, b) of one pass: spanning forests of the links found in each cell."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             dims = b.column("dim").to_numpy()
-            key = np.zeros(len(dims), np.int64)
-            lists = b.column("u")
             for d in np.unique(dims):
                 rows = np.flatnonzero(dims == d)
-                key[rows] = sort_keys(_matrix(lists.take(pa.array(rows))), seed)
-            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("dim"), b.column("u"), pa.array(key)], ["rep", "dim", "u", "key"])
-
-    return classes.select("rep", "dim", "u").mapInArrow(run, "rep bigint, dim int, u array<double>, key bigint")
-
-
-def _edges_within(ids: np.ndarray, u: np.ndarray, other_ids: np.ndarray, other: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    i, j = np.nonzero(u @ other.T >= threshold)
-    a, b = ids[i], other_ids[j]
-    keep = a != b
-    return a[keep], b[keep]
-
-
-def _pass(classes: DataFrame, seed: int, threshold: float, block: int) -> DataFrame:
-    """Edges (a, b) of one sorted pass: a spanning forest of the links found in each pair of neighbouring blocks."""
-    keyed = _keyed(classes, seed)
-    ordered = keyed.repartitionByRange("dim", "key", "rep").sortWithinPartitions("dim", "key", "rep")
-    numbered = ordered.withColumn("part", F.spark_partition_id())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Neighbouring blocks in the task's range; its first and last rows go out for the seams between ranges."""
-        before: tuple | None = None
-        rest: list[pa.RecordBatch] = []
-        first, held, part = True, 0, 0
-        names = ["a", "b", "part", "side", "dim", "u"]
-
-        def edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            keep = forest(a, b)
-            a, b = a[keep], b[keep]
-            none = pa.nulls(len(a), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), none, none, none, pa.nulls(len(a), pa.list_(pa.float64()))], names)
-
-        def seam(ids: np.ndarray, dims: np.ndarray, lists: pa.Array, side: int) -> pa.RecordBatch:
-            n = len(ids)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, side, np.int32)), pa.array(dims, pa.int32()), lists], names)
-
-        def take(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            nonlocal before, first
-            ids, dims = rows.column("rep").to_numpy(), rows.column("dim").to_numpy()
-            lists = rows.column("u").combine_chunks()
-            if first:
-                yield seam(ids, dims, lists, 1)
-                first = False
-            a, b = [], []
-            for d in np.unique(dims):
-                mine = np.flatnonzero(dims == d)
-                u = _matrix(lists.take(pa.array(mine)))
-                near = [(ids[mine], u)]
-                if before is not None and d in before[0]:
-                    near.append(before[0][d])
-                for other_ids, other in near:
-                    x, y = _edges_within(ids[mine], u, other_ids, other, threshold)
-                    a.append(x)
-                    b.append(y)
-            if a:
-                yield edges(np.concatenate(a), np.concatenate(b))
-            before = ({d: (ids[dims == d], _matrix(lists.take(pa.array(np.flatnonzero(dims == d))))) for d in np.unique(dims)}, ids, dims, lists)
-
-        for batch in batches:
-            if batch.num_rows:
-                part = batch.column("part")[0].as_py()
-                rest.append(batch)
-                held += batch.num_rows
-            while held >= 2 * block:
-                table = pa.Table.from_batches(rest)
-                yield from take(table.slice(0, block))
-                rest, held = table.slice(block).to_batches(), held - block
-        if held:
-            yield from take(pa.Table.from_batches(rest))
-        if before is not None:
-            yield seam(before[1], before[2], before[3], 0)
-
-    found = materialize(numbered.mapInArrow(run, "a bigint, b bigint, part int, side int, dim int, u array<double>"), "vectors-pass")
-    # The last block of a range against the first of the next: at most 4 * block rows a seam.
-    seams = found.where("side is not null").select((F.col("part") + 1 - F.col("side")).alias("seam"), "side", "dim", F.col("a").alias("rep"), "u")
-
-    def across(key: tuple, rows: pa.Table) -> pa.Table:
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        side, dims, ids, lists = rows.column("side").to_numpy(), rows.column("dim").to_numpy(), rows.column("rep").to_numpy(), rows.column("u").combine_chunks()
-        for d in np.unique(dims):
-            one, two = np.flatnonzero((side == 0) & (dims == d)), np.flatnonzero((side == 1) & (dims == d))
-            if len(one) and len(two):
-                x, y = _edges_within(ids[one], _matrix(lists.take(pa.array(one))), ids[two], _matrix(lists.take(pa.array(two))), threshold)
-                a.append(x)
-                b.append(y)
-        a, b = np.concatenate(a), np.concatenate(b)
-        keep = forest(a, b)
-        return pa.table({"a": a[keep], "b": b[keep]})
-
-    return found.where("side is null").select("a", "b").unionByName(seams.groupBy("seam").applyInArrow(across, "a bigint, b bigint"))
+                u = b.column("u").take(pa.array(rows))
+                # A length of which no pivot was drawn has few vectors: one cell.
+                cells = nearest(_matrix(u), pivots[int(d)]) if int(d) in pivots else np.zeros((len(rows), 1), np.int64)
+                again = pa.array(np.repeat(rows, cells.shape[1]))
+                yield pa.RecordBatch.from_arrays([b.column("dim").take(again), pa.array(cells.ravel().astype(np.int64)), b.column("rep").take(again), b.column("u").take(again)], ["dim", "cell", "rep", "u"])
+
+    def compare(key: tuple, rows: pa.Table) -> pa.Table:
+        a, b = cell_edges(rows.column("rep").to_numpy(), _matrix(rows.column("u")), threshold)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    placed = classes.select("rep", "dim", "u").mapInArrow(place, "dim int, cell bigint, rep bigint, u array<double>")
+    return placed.groupBy("dim", "cell").applyInArrow(compare, "a bigint, b bigint")
+
+
+def _edges(classes: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Edges of as many passes as it takes to bring TARGET of the probes together."""
+    counts = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().collect()}
+    wanted = {d: max(1, min(-(-n // block), PIVOT_NUMBERS // d // len(counts))) for d, n in counts.items()}
+    pairs = {d: probes(x, threshold) for d, x in _drawn(classes, {d: min(n, max(1, PROBES * n // sum(counts.values()))) for d, n in counts.items()}, counts, -1).items()} if counts else {}
+    met = {d: np.zeros(len(one), bool) for d, (one, _) in pairs.items()}
+    edges = None
+    for seed in range(PASSES):
+        pivots = _drawn(classes, wanted, counts, seed) if counts else {}
+        found = materialize(_pass(classes, pivots, threshold), "vectors-pass")
+        edges = found if edges is None else edges.unionByName(found)
+        for d, (one, two) in pairs.items():
+            met[d] |= meet(one, two, pivots[d]) if d in pivots else True
+        if all(m.mean() >= TARGET for m in met.values()):
+            break
+    return edges
 
 
 def _link_counts(classes: DataFrame, components: DataFrame, threshold: float) -> DataFrame:
@@ -216,14 +231,11 @@ def _link_counts(classes: DataFrame, components: DataFrame, threshold: float) ->
     return counted.groupBy("rep").agg(F.sum("others").alias("others"))
 
 
-def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, block: int = BLOCK) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector."""
     good = usable(embeddings)
     classes = materialize(_classes(good), "vectors")
-    edges = None
-    for seed in range(passes):
-        found = _pass(classes, seed, threshold, block)
-        edges = found if edges is None else edges.unionByName(found)
+    edges = _edges(classes, threshold, block)
     components = materialize(connected_components(materialize(edges, "vector-edges")), "vector-components")
     counts = _link_counts(classes, components, threshold)
     told = classes.select("rep", "copies").join(components, F.col("rep") == F.col("id"), "left").join(counts, "rep", "left")
