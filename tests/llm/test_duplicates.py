@@ -182,6 +182,27 @@ def test_suffix_dedup_parts_and_edges(docs, monkeypatch):
     assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(0, 0), (3, 100), (3, 100)]
 
 
+def test_suffix_dedup_repeated_and_null_ids(docs):
+    """Rows of equal id and text are judged alike; different texts of one id, or of none, each have their own ranges."""
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    phrase = text(60)
+    # The phrase stands in all of them with other surroundings, so that their runs of one minimizer differ.
+    own = [text(150) + phrase + text(150) for _ in range(8)]
+    shared = text(300)
+    rows = [(1, own[0]), (2, own[1]), (2, own[1]), (5, own[2]), (5, own[3]), (None, own[4]), (None, own[5]), (None, own[5]), (None, None), (9, own[6] + shared), (9, own[7] + shared), (9, text(20))]
+    got = suffix_dedup.remove_repeats(docs(rows), keep_text=True).collect()
+    assert len(got) == len(rows)
+    unique = [r for r in got if r.doc_id != 9]
+    assert all(r.n_removed == 0 for r in unique)
+    key = lambda x: (x[0] or 0, x[1] or "")
+    assert sorted(((r.doc_id, r.kept_text) for r in unique), key=key) == sorted([r for r in rows if r[0] != 9], key=key)
+    assert sorted(r.n_removed for r in got if r.doc_id == 9)[:2] == [0, 0]
+    both = [r.kept_text for r in got if r.doc_id == 9]
+    assert 300 <= max(r.n_removed for r in got) <= 302 and sum(shared in t for t in both) == 1
+    assert all(any(t.startswith(o[:300]) for t in both) for o in own[6:])
+
+
 def test_kept_text_has_whole_characters(docs):
     text = "é" * 60
     rows = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs([text, "abc" + text + "def"]), keep_text=True).collect()}

@@ -11,8 +11,9 @@ a binary search for their common extension over prefix polynomial hashes. Equal
 Very frequent minimizers are split among tasks; the first occurrences that each part finds then meet by hash, with
 partial aggregation.
 
-Defined results: a null text is empty; texts under ``LENGTH`` bytes keep all; a row repeated in full counts once, as doc_id is
-the order of documents and equal ids are neither earlier; a null doc_id comes before all others.
+Defined results: a null text is empty; texts under ``LENGTH`` bytes keep all; rows of equal doc_id and text are one document,
+judged alike; different texts of one doc_id are documents in the order of a hash of their text; a null doc_id comes
+before all others.
 """
 
 from __future__ import annotations
@@ -296,6 +297,27 @@ def _merged(spans: np.ndarray) -> np.ndarray:
 NULL_ID = -(1 << 63)
 
 
+def row_keys(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``documents`` with a bigint ``row_key``, and (doc_id, text) of the distinct rows with the key as doc_id.
+
+    The key is the doc_id where that is unique. Else it numbers the distinct (doc_id, text) in order of doc_id and a hash of the
+    text: they are sorted by ranges, and counts per range (a row for each task) give the number its offset.
+    """
+    if documents.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return documents.withColumn("row_key", F.col("doc_id")), documents.select("doc_id", "text")
+    hashed = documents.withColumn("text_hash", F.xxhash64("text", F.col("text").isNull()))
+    ids = hashed.select("doc_id", "text_hash").distinct().repartitionByRange("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash")
+    placed = F.monotonically_increasing_id()  # the partition above 33 bits that count its rows
+    ids = materialize(ids.select("doc_id", "text_hash", F.shiftright(placed, 33).alias("range"), placed.bitwiseAND(F.lit((1 << 33) - 1)).alias("at")), "suffix-keys")
+    counts = sorted((r["range"], r["count"]) for r in ids.groupBy("range").count().collect())
+    before = np.cumsum([0, *(n for _, n in counts)]).tolist()
+    offset = F.create_map(*(F.lit(x) for (part, _), n in zip(counts, before) for x in (part, n)))
+    keys = ids.select("doc_id", "text_hash", (offset[F.col("range")] + F.col("at")).cast("bigint").alias("row_key"))
+    keyed = hashed.join(keys, ["doc_id", "text_hash"]).drop("text_hash")
+    single = hashed.select("doc_id", "text_hash", "text").dropDuplicates(["doc_id", "text_hash"]).join(keys, ["doc_id", "text_hash"])
+    return keyed, single.select(F.col("row_key").alias("doc_id"), "text")
+
+
 def remove_repeats(documents: DataFrame, keep_text: bool = False, length: int = LENGTH) -> DataFrame:
     """n_bytes, n_removed, n_spans and kept_sha256 of every document, after its columns but for ``text``.
 
@@ -303,9 +325,10 @@ def remove_repeats(documents: DataFrame, keep_text: bool = False, length: int =
     """
     names = [c for c in documents.columns if c not in ("doc_id", "text")]
     d = documents.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"), *names)
-    gone = removed_intervals(d.select("doc_id", "text"), length)
-    gone = gone.groupBy("doc_id").agg(F.collect_set(F.struct("s", "e")).alias("gone"))  # as many as the text has
-    joined = d.join(gone.hint("merge"), "doc_id", "left").select(*names, F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), "text", "gone")
+    d, single = row_keys(d)
+    gone = removed_intervals(single, length)
+    gone = gone.groupBy("doc_id").agg(F.collect_set(F.struct("s", "e")).alias("gone")).withColumnRenamed("doc_id", "row_key")  # as many as the text has
+    joined = d.join(gone.hint("merge"), "row_key", "left").select(*names, F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), "text", "gone")
     made = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if keep_text else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
