@@ -36,17 +36,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shingles of NEAR_WORDS words link at NEAR_PERCENT, the one of smallest id; once where it stands in several rows."""
+    """One document of each group that shingles of NEAR_WORDS words link at NEAR_PERCENT, the one of smallest id; once where it stands in several rows.
+
+    Documents are the distinct (doc_id, text), so rows of one id and different texts are judged each by itself. Rows without an id stay.
+    """
     docs = _documents(docs)
-    groups = jaccard_join.ngram_jaccard_join(docs, k=NEAR_WORDS, percent=NEAR_PERCENT)
-    drop = materialize(groups.where("component_id != doc_id").select("doc_id").distinct(), "pipeline-near")
+    keyed, single = suffix_dedup.row_keys(docs.where("doc_id is not null"))
+    groups = jaccard_join.ngram_jaccard_join(single, k=NEAR_WORDS, percent=NEAR_PERCENT)
+    drop = materialize(groups.where("component_id != doc_id").select(F.col("doc_id").alias("row_key")).distinct(), "pipeline-near")
     # Rows repeated in full are near duplicates too.
-    twice = materialize(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-twice")
-    kept = docs.join(drop.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
-    if twice.isEmpty():
-        return kept
-    single = kept.join(twice, "doc_id", "left_anti").select(*COLUMNS)
-    return single.unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS))
+    twice = materialize(keyed.groupBy("row_key").count().where("count > 1").select("row_key"), "pipeline-twice")
+    kept = keyed.join(drop.hint("merge"), "row_key", "left_anti")
+    if not twice.isEmpty():
+        kept = kept.join(twice, "row_key", "left_anti").unionByName(kept.join(twice, "row_key", "left_semi").dropDuplicates(["row_key"]))
+    return kept.select(*COLUMNS).unionByName(docs.where("doc_id is null"))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

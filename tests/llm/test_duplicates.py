@@ -103,6 +103,16 @@ def test_pipeline_near_duplicates(spark, docs):
     assert sorted((r.doc_id, r.text) for r in got) == [(i, t) for i, t in enumerate(texts) if expected[i] == i]
 
 
+def test_pipeline_near_duplicates_of_repeated_ids(spark, docs):
+    """Rows of one id and different texts are judged each by itself."""
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, b), (3, c), (3, None), (None, a)]
+    got = corpus_pipeline.near_duplicates(spark, docs(rows), "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, a), (1, a), (2, b), (3, ""), (3, c)]
+
+
 def test_jaccard_edges(spark, docs):
     assert jaccard_join.ngram_jaccard_join(docs([]).limit(0)).count() == 0
     rows = jaccard_join.ngram_jaccard_join(docs([(None, "a b c d e"), (5, "a b c d e"), (5, "a b c d e"), (4, "A b c d e"), (7, None)])).collect()
