@@ -65,9 +65,10 @@ def variants(rng, n=60):
     return out
 
 
-@pytest.mark.parametrize(("seed", "group"), [(1, 256), (2, 2)])
-def test_jaccard_join(docs, monkeypatch, seed, group):
-    monkeypatch.setattr(jaccard_join, "GROUP", group)
+@pytest.mark.parametrize(("seed", "group", "few", "part"), [(1, 512, 32, 1 << 16), (2, 2, 32, 1 << 16), (3, 3, 1, 4), (4, 512, 1, 1 << 16)])
+def test_jaccard_join(docs, monkeypatch, seed, group, few, part):
+    for name, value in (("GROUP", group), ("FEW", few), ("PART", part)):
+        monkeypatch.setattr(jaccard_join, name, value)
     rng = random.Random(seed)
     texts = variants(rng) + [None, "", " \n", "a b", "A  b", "a b c", "x" * 5000]
     texts += [texts[0]] * 5
@@ -81,6 +82,28 @@ def test_jaccard_join(docs, monkeypatch, seed, group):
     assert [(rows[i].n_shingles, rows[i].component_id) for i in range(len(texts))] == [(len(s), c) for s, c in zip(sets, expected)]
 
 
+@pytest.mark.parametrize(("group", "few"), [(512, 4), (8, 4), (8, 32)])
+def test_jaccard_join_of_near_misses(docs, monkeypatch, group, few):
+    """A family whose members lie on both sides of the limit to each other and to the first one, and share many shingles."""
+    monkeypatch.setattr(jaccard_join, "GROUP", group)
+    monkeypatch.setattr(jaccard_join, "FEW", few)
+    rng = random.Random(21)
+    base = [f"b{rng.randrange(10**6)}" for _ in range(120)]
+    texts = []
+    for i in range(70):
+        words = list(base) if i % 7 else list(base[: 100 + i // 7])
+        for e in range(i % 6):
+            words[rng.randrange(len(words))] = f"x{i}e{e}" if i % 3 else f"x{e}"
+        texts.append(" ".join(words))
+    sets = [shingle_set(t) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    near = sum(100 * len(sets[i] & sets[j]) >= 70 * len(sets[i] | sets[j]) for i in range(len(sets)) for j in range(i))
+    expected = components(len(sets), links)
+    assert 5 < len(set(expected)) < 60 and near > 1.5 * len(links) > 100
+    got = {r.doc_id: r.component_id for r in jaccard_join.ngram_jaccard_join(docs(texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == expected
+
+
 def test_pipeline_near_duplicates(spark, docs):
     """Which documents stay, at five words and 0.8; spread one-word edits lie between that and the limits of op3."""
     import corpus_pipeline
@@ -122,7 +145,7 @@ def test_jaccard_edges(spark, docs):
 def test_prefix_tree_equals_set_arithmetic():
     rng = np.random.default_rng(4)
     sketch = rng.integers(1, 5, 1 << jaccard_join.SKETCH_BITS)
-    make = lambda values: jaccard_join._ranked(np.unique(np.array(values, np.uint64) * np.uint64(0x9E3779B97F4A7C15)), sketch)
+    make = lambda values: jaccard_join._order(np.unique(np.array(values, np.uint64) * np.uint64(0x9E3779B97F4A7C15)), sketch)
     base = rng.integers(0, 1000, 60)
     members = []
     for i in range(80):
@@ -130,8 +153,8 @@ def test_prefix_tree_equals_set_arithmetic():
         m[rng.integers(0, 60, i % 16)] = rng.integers(0, 1000, i % 16)
         members.append(make(m[: rng.integers(45, 61)]))
     sets = [make(base), *members]
-    tokens = [set(x["at"]["token"].tolist()) for x in sets]
-    tree = jaccard_join.PrefixTree(sets)
+    tokens = [set(x.tolist()) for x in sets]
+    tree = jaccard_join.PrefixTree(sets, sketch)
     for p in (30, 1, 0):
         expected = {i for i, t in enumerate(tokens) if 100 * len(tokens[p] & t) >= 85 * len(tokens[p] | t)}
         assert set(tree.linked(p, [True] * len(sets))) == expected
