@@ -243,22 +243,58 @@ def test_kept_text_has_whole_characters(docs):
 
 
 def test_suffix_order_sorts():
-    from tidemark.llm import hashing
-
     rng = np.random.default_rng(7)
     data = rng.integers(97, 99, 600).astype(np.uint8)
     starts, groups = rng.permutation(580), np.sort(rng.integers(0, 5, 580))
-    order = suffix_dedup.suffix_order(hashing.prefix_hashes(hashing.byte_table()[data]), data, starts, groups, 12)
-    keys = [(int(groups[i]), data[starts[i] : starts[i] + 12].tobytes(), i) for i in range(580)]
+    limits = rng.integers(0, 13, 580)
+    order, common = suffix_dedup.suffix_order(data, starts, limits, groups)
+    keys = [(int(groups[i]), data[starts[i] : starts[i] + limits[i]].tobytes(), i) for i in range(580)]
     assert [keys[i] for i in order] == sorted(keys)
-
-
-def test_windows_survive_colliding_hashes(monkeypatch):
-    spans = [b"a" * 100 + b"b" * 50, b"c" * 150, b"a" * 100 + b"b" * 50]
-    groups, offsets = np.zeros(3, np.int64), np.zeros(3, np.int64)
-    expected = suffix_dedup.repeated_windows(spans, groups, offsets)[2]
-    monkeypatch.setattr(suffix_dedup.hashing, "byte_table", lambda fold=False, seed=1: np.zeros(256, np.uint64))
-    assert (suffix_dedup.repeated_windows(spans, groups, offsets)[2] == expected).sum() >= 51
+    for x, y, n in zip(order[:-1], order[1:], common[1:]):
+        (g, a, _), (h, b, _) = keys[x], keys[y]
+        assert n == (-1 if g != h else next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b))))
+
+
+def runs_of_one_gram(rng, n=60):
+    """Spans around one gram whose contexts agree to various lengths."""
+    gram = b"0123456789abcdef"
+    left, right = bytes(rng.integers(97, 123, 84).tolist()), bytes(rng.integers(97, 123, 84).tolist())
+    spans, offsets = [], []
+    for _ in range(n):
+        a, b = (int(x) for x in rng.integers(30, 85, 2))
+        if a + b < 84:
+            b = 84
+        own = lambda k: bytes(rng.integers(65, 68, k).tolist())
+        i, j = int(rng.integers(0, a + 1)), int(rng.integers(0, b + 1))
+        spans.append(own(a - i) + left[84 - i :] + gram + right[:j] + own(b - j))
+        offsets.append(a)
+    return spans, np.array(offsets)
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_windows_are_those_of_plain_comparison(monkeypatch, collide):
+    """Also where all hashes are equal: a collision is noticed and the bytes decide."""
+    spans, offsets = runs_of_one_gram(np.random.default_rng(3))
+    groups = np.repeat([0, 1], 30)
+    if collide:
+        monkeypatch.setattr(suffix_dedup.hashing, "byte_table", lambda fold=False, seed=1: np.zeros(256, np.uint64))
+    later = suffix_dedup.repeated_windows(spans, groups, offsets)
+    seen, marked = set(), 0
+    for i, span in enumerate(spans):
+        for p in range(len(span) - 99):
+            key = (groups[i], offsets[i] - p, span[p : p + 100])
+            assert later[i, offsets[i] - p] == (key in seen)
+            marked += key in seen
+            seen.add(key)
+    assert marked > 50 and later.sum() == marked
+
+
+@pytest.mark.parametrize("bits", [1, 8])
+def test_suffix_dedup_of_colliding_runs(docs, bits):
+    """Runs of different bytes and equal hash are told apart."""
+    texts = passages(random.Random(12))
+    rows = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs(texts), span_bits=bits).collect()}
+    assert [(rows[i].n_bytes, rows[i].n_removed, rows[i].n_spans, rows[i].kept_sha256) for i in range(len(texts))] == plain_dedup(texts)
 
 
 def vectors(rng, n=600, dim=16):

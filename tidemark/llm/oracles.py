@@ -104,9 +104,24 @@ SELECT vec_id, CAST(coalesce(k, 0) AS BIGINT) AS n_links, least(vec_id, coalesce
 FROM embeddings LEFT JOIN (SELECT a, count(*) AS k FROM links GROUP BY a) l ON l.a = vec_id LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) r ON r.a = vec_id"""
 
 
+def _suffix_dedup(length: int = 100) -> str:
+    """All strings of ``length`` bytes by place; of equal ones all but the first, and what they cover."""
+    gap = "substr(x, 2 * CASE WHEN i = 0 THEN 0 ELSE ee[i] END + 1, 2 * (CASE WHEN i = len(ss) THEN n ELSE ss[i + 1] END - CASE WHEN i = 0 THEN 0 ELSE ee[i] END))"
+    return f"""WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS t, strlen(coalesce(text, '')) AS n FROM documents),
+w AS MATERIALIZED (SELECT doc_id, s, md5(t[s + 1 : s + {length}]) AS k FROM (SELECT doc_id, unnest(range(n - {length - 1})) AS s, t FROM b WHERE n >= {length})),
+late AS MATERIALIZED (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS r FROM w) WHERE r > 1),
+turns AS (SELECT doc_id, s, coalesce(s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + {length}, true) AS new FROM late),
+runs AS (SELECT doc_id, min(s) AS s, max(s) + {length} AS e FROM (SELECT doc_id, s, sum(CAST(new AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM turns) GROUP BY doc_id, run),
+cut AS (SELECT doc_id, list(s ORDER BY s) AS ss, list(e ORDER BY s) AS ee, sum(e - s) AS gone FROM runs GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(len(ss), 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN ss IS NULL THEN x ELSE array_to_string(list_transform(range(len(ss) + 1), lambda i: {gap}), '') END)) AS kept_sha256
+FROM (SELECT doc_id, hex(t) AS x, n FROM b) LEFT JOIN cut USING (doc_id)"""
+
+
 SQL: dict[str, str] = {
     "op1_quality_rules": _quality_rules(),
     "op3_ngram_jaccard_join": _jaccard_join(),
     "op4_warc": _warc(),
     "op5_embedding_dedup": _embeddings(),
+    "op7_suffix_dedup": _suffix_dedup(),
 }

@@ -2,13 +2,20 @@
 
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier, in a document of smaller id or before in
 the same one. Equal strings share their minimizer, the k-gram of least hash, so strings meet by their minimizer: each document
-names the runs of consecutive starts with one minimizer, and only runs whose minimizer occurs twice go on. Runs with
-equal bytes are one class, of which all but the first occurrence go at once; that settles the inside of every repeated
-passage, however often it occurs. What is left are first runs of a minimizer with several classes, the rims of passages:
-their bytes are gathered by minimizer, and a suffix array of them is built by mergesort, where two suffixes are compared by
-a binary search for their common extension over prefix polynomial hashes. Equal neighbours are verified byte by byte.
+names the runs of consecutive starts with one minimizer, and only runs whose minimizer occurs twice go on.
 
-Very frequent minimizers are split among tasks; the first occurrences that each part finds then meet by hash, with
+Runs of equal hash are one class, of which all but the first occurrence go at once; that settles the inside of every repeated
+passage, however often it occurs. Neighbouring runs that repeat neighbouring ones are then one segment, and the
+SHA-256 of a segment and of what it repeats must agree. Runs of a segment where they do not are judged like first ones.
+
+What is left are first runs of a minimizer with several classes, the rims of passages. Their bytes are gathered by minimizer and
+the suffixes that start at the minimizers are sorted by mergesort, as are the reversed ones that end there. Two suffixes compare by a binary
+search for their common extension over prefix polynomial hashes; afterwards the bytes of all neighbours are compared, and
+a block in which two hashes collide is sorted by its bytes. A string with o bytes before its minimizer has an equal
+in another run if the reversed suffixes agree for o bytes and the others for the rest: the common extensions of neighbours in the
+two orders cut the runs into classes for each o, and all but the first of equal classes go.
+
+Very frequent minimizers are split among tasks; the strings that are first in their part then meet by their bytes, with
 partial aggregation.
 
 Defined results: a null text is empty; texts under ``LENGTH`` bytes keep all; rows of equal doc_id and text are one document,
@@ -33,10 +40,10 @@ LENGTH = 100
 GRAM = 16
 #: Bytes of a text that are looked at together; parts overlap by LENGTH - 1 bytes.
 PART = 1 << 20
-#: Runs of one minimizer that meet in one task.
-GROUP = 8192
-#: Windows that one suffix sort holds.
-WINDOWS = 200_000
+#: Runs of one minimizer that meet in one task, and runs that one suffix sort holds (at least a minimizer's).
+GROUP, SORTED = 1 << 16, 1 << 15
+#: Stretches of one document that a row names.
+LIST = 1 << 16
 
 RUN = "h bigint, span bigint, doc_id bigint, at bigint, n int, off int"
 
@@ -63,7 +70,9 @@ def minimizer_runs(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) ->
     return grams[place[start]], hashing.mix(whole ^ hashing.mix(shape)), start, end - start, place[start] - start
 
 
-def _runs(documents: DataFrame, length: int, gram: int) -> DataFrame:
+def _runs(documents: DataFrame, length: int, gram: int, span_bits: int) -> DataFrame:
+    part_bytes = PART
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
@@ -72,9 +81,9 @@ def _runs(documents: DataFrame, length: int, gram: int) -> DataFrame:
             for i, x in zip(ids.tolist(), text_rows(batch.column("text"))):
                 if x is None or len(x) < length:
                     continue
-                for a in range(0, len(x) - length + 1, PART):
-                    h, span, at, n, off = minimizer_runs(x[a : a + PART + length - 1], length, gram)
-                    held.append([h.view(np.int64), span.view(np.int64), np.full(len(h), i), at + a, n.astype(np.int32), off.astype(np.int32)])
+                for a in range(0, len(x) - length + 1, part_bytes):
+                    h, span, at, n, off = minimizer_runs(x[a : a + part_bytes + length - 1], length, gram)
+                    held.append([h.view(np.int64), (span >> np.uint64(64 - span_bits)).view(np.int64), np.full(len(h), i), at + a, n.astype(np.int32), off.astype(np.int32)])
                     size += len(h)
                 if size > 100_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["h", "span", "doc_id", "at", "n", "off"])
@@ -85,32 +94,34 @@ def _runs(documents: DataFrame, length: int, gram: int) -> DataFrame:
     return documents.mapInArrow(run, RUN)
 
 
-def suffix_order(prefix: np.ndarray, data: np.ndarray, starts: np.ndarray, groups: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Indices that sort the suffixes at ``starts`` by group and first ``length`` bytes; equal ones keep their order.
+def suffix_order(data: np.ndarray, starts: np.ndarray, limits: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices that sort the suffixes at ``starts``, of ``limits`` bytes at most, by group, bytes and index; and how many bytes each
+    has in common with the one before it in that order, -1 across groups.
 
     ``groups`` does not decrease. All merges of one width are done together: a suffix finds its place in the other half by
-    binary search, and two suffixes compare by the byte after their common extension.
+    binary search, and two suffixes compare by the byte after their common extension. Neighbours are verified by their bytes.
     """
+    prefix = hashing.prefix_hashes(hashing.byte_table()[data])
     _, down = hashing.powers(len(prefix))
+    most = int(limits.max()) if len(limits) else 0
 
-    def extension(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        low, high = np.zeros(len(x), np.int64), np.full(len(x), length)
+    def extension(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        low, high = np.zeros(len(i), np.int64), np.minimum(limits[i], limits[j])
+        x, y = starts[i], starts[j]
         px, py, dx, dy = prefix[x], prefix[y], down[x], down[y]
-        while (low < high).any():
+        for _ in range(most.bit_length()):
             mid = (low + high + 1) >> 1
             same = (prefix[x + mid] - px) * dx == (prefix[y + mid] - py) * dy
             low = np.where(same, mid, low)
-            high = np.where(same, high, mid - 1)
+            high = np.maximum(np.where(same, high, mid - 1), low)
         return low
 
-    def before(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Suffix x comes before y; false where they agree."""
-        differ = np.flatnonzero((prefix[x + length] - prefix[x]) * down[x] != (prefix[y + length] - prefix[y]) * down[y])
-        out = np.zeros(len(x), bool)
-        x, y = x[differ], y[differ]
-        at = np.minimum(extension(x, y), length - 1)
-        out[differ] = data[x + at] < data[y + at]
-        return out
+    def before(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Suffix i comes before j; false where they agree."""
+        at, li, lj = extension(i, j), limits[i], limits[j]
+        inside = (at < li) & (at < lj)
+        last = len(data) - 1
+        return np.where(inside, data[np.minimum(starts[i] + at, last)] < data[np.minimum(starts[j] + at, last)], li < lj)
 
     first = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]])) if len(groups) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(first, len(groups)))
@@ -126,12 +137,11 @@ def suffix_order(prefix: np.ndarray, data: np.ndarray, starts: np.ndarray, group
         middle = np.minimum(left_start + width, end)
         low, high = np.where(right, left_start, middle), np.where(right, middle, np.minimum(left_start + 2 * width, end))
         base = low.copy()
-        sorted_ = starts[order]
         open_ = np.flatnonzero(low < high)
         while len(open_):
             mid = (low[open_] + high[open_]) >> 1
             # A suffix of the right half goes behind its equals of the left half, and one of the left half before those.
-            own, other, of_right = sorted_[position[open_]], sorted_[mid], right[open_]
+            own, other, of_right = order[position[open_]], order[mid], right[open_]
             smaller = before(np.where(of_right, own, other), np.where(of_right, other, own))
             go = smaller ^ of_right
             low[open_] = np.where(go, mid + 1, low[open_])
@@ -142,144 +152,205 @@ def suffix_order(prefix: np.ndarray, data: np.ndarray, starts: np.ndarray, group
         merged[to] = order[position]
         order = merged
         width *= 2
-    return order
-
-
-def repeated_windows(spans: list[bytes], groups: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All windows of the ``spans``, which are in order of occurrence within each group.
-
-    Returns the span and the place in it of each window, whether an equal one of its group comes earlier, and two
-    hashes of it. ``offsets``: the place of the minimizer in each span. Equal windows have it at the same place, so only
-    windows of equal group and place are sorted together, and those whose hash is single there need no sorting.
+    common = np.full(len(order), -1)
+    pairs = np.flatnonzero(groups[order[1:]] == groups[order[:-1]]) + 1
+    common[pairs] = extension(order[pairs - 1], order[pairs])
+    if not _in_order(data, starts, limits, order, common, pairs):
+        return _order_by_bytes(data, starts, limits, groups)
+    return order, common
+
+
+def _in_order(data: np.ndarray, starts: np.ndarray, limits: np.ndarray, order: np.ndarray, common: np.ndarray, pairs: np.ndarray) -> bool:
+    """Neighbours agree in just the bytes they are said to have in common, and are in order: then all suffixes are."""
+    for at in range(0, len(pairs), 1 << 14):
+        p = pairs[at : at + (1 << 14)]
+        x, y, n = order[p - 1], order[p], common[p]
+        reach = np.arange(int(n.max()) if len(n) else 0)
+        last = len(data) - 1
+        differ = data[np.minimum(starts[x][:, None] + reach, last)] != data[np.minimum(starts[y][:, None] + reach, last)]
+        if (differ & (reach < n[:, None])).any():
+            return False
+        inside = (n < limits[x]) & (n < limits[y])
+        if not np.where(inside, data[np.minimum(starts[x] + n, last)] < data[np.minimum(starts[y] + n, last)], limits[x] <= limits[y]).all():
+            return False
+    return True
+
+
+def _order_by_bytes(data: np.ndarray, starts: np.ndarray, limits: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same without hashes, for the rare block in which two of them collide."""
+    raw = data.tobytes()
+    keys = [(g, raw[a : a + n]) for g, a, n in zip(groups.tolist(), starts.tolist(), limits.tolist())]
+    order = sorted(range(len(keys)), key=lambda i: (*keys[i], i))
+    common = np.full(len(order), -1)
+    for at, (i, j) in enumerate(zip(order[:-1], order[1:]), 1):
+        if keys[i][0] == keys[j][0]:
+            x, y = keys[i][1], keys[j][1]
+            n = min(len(x), len(y))
+            common[at] = next((k for k in range(n) if x[k] != y[k]), n)
+    return np.array(order, np.int64), common
+
+
+def repeated_windows(spans: list[bytes], groups: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Whether the string of ``length`` bytes with o bytes before the minimizer also starts in an earlier span of the group, as rows of o.
+
+    The ``spans`` are in order of occurrence within each group; ``offsets``: the place of the minimizer in each.
     """
     sizes = np.array([len(s) for s in spans])
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     data = np.frombuffer(b"".join(spans), np.uint8)
-    counts = sizes - length + 1
-    owner = np.repeat(np.arange(len(spans)), counts)
-    place = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-    starts = bounds[owner] + place
-    prefix = hashing.prefix_hashes(hashing.byte_table()[data])
-    hashes = hashing.mix(hashing.range_hashes(prefix, starts, starts + length))
-    meet = groups[owner] * (length + 1) + (offsets[owner] - place)
-    later = np.zeros(len(starts), bool)
-    order = np.lexsort((owner, hashes, meet))
-    same = (meet[order[1:]] == meet[order[:-1]]) & (hashes[order[1:]] == hashes[order[:-1]])
-    paired = np.zeros(len(starts), bool)
-    paired[order[1:][same]] = True
-    paired[order[:-1][same]] = True
-    some = np.flatnonzero(paired)
-    some = some[np.argsort(meet[some], kind="stable")]  # owners stay in order within a meeting
-    rank = suffix_order(prefix, data, starts[some], meet[some], length)
-    sorted_ = some[rank]
-    equal = np.flatnonzero((hashes[sorted_[1:]] == hashes[sorted_[:-1]]) & (meet[sorted_[1:]] == meet[sorted_[:-1]])) + 1
-    reach = np.arange(length)
-    for at in range(0, len(equal), 1 << 14):  # collision verification
-        x = equal[at : at + (1 << 14)]
-        if (data[starts[sorted_[x]][:, None] + reach] != data[starts[sorted_[x - 1]][:, None] + reach]).any():
-            later = _repeated_by_bytes(spans, groups, owner, place, length)
-            break
-        later[sorted_[x]] = True
-    other = hashing.mix(hashes ^ hashing.mix(hashing.range_hashes(hashing.prefix_hashes(hashing.byte_table(seed=2)[data]), starts, starts + length)))
-    return owner, place, later, np.stack([hashes, other]).view(np.int64)
-
-
-def _repeated_by_bytes(spans: list[bytes], groups: np.ndarray, owner: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
-    """The same without hashes, for the rare block in which two hashes collide."""
-    seen: set[tuple[int, bytes]] = set()
-    out = np.zeros(len(owner), bool)
-    for i, (o, p) in enumerate(zip(owner.tolist(), place.tolist())):
-        key = (int(groups[o]), spans[o][p : p + length])
-        out[i] = key in seen
-        seen.add(key)
-    return out
-
-
-def _intervals(owner: np.ndarray, place: np.ndarray, hit: np.ndarray, length: int) -> list[tuple[int, int, int]]:
-    """(span, start, end) of the bytes that the marked windows cover, consecutive windows joined."""
-    o, p = owner[hit], place[hit]
-    if not len(o):
-        return []
-    new = np.concatenate([[True], (o[1:] != o[:-1]) | (p[1:] != p[:-1] + 1)])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(o)) - 1
-    return list(zip(o[first].tolist(), p[first].tolist(), (p[last] + length).tolist()))
+    at = bounds[:-1] + offsets
+    later = np.zeros((len(spans), int(offsets.max()) + 1 if len(spans) else 0), bool)
+    after, after_common = suffix_order(data, at, np.minimum(sizes - offsets, length), groups)
+    ahead, ahead_common = suffix_order(np.ascontiguousarray(data[::-1]), len(data) - at, np.minimum(offsets, length), groups)
+    of_after, of_ahead = np.empty(len(spans), np.int64), np.empty(len(spans), np.int64)
+    for o in range(later.shape[1]):
+        mine = np.flatnonzero((offsets >= o) & (offsets - o <= sizes - length))
+        of_after[after] = np.cumsum(after_common < length - o)
+        of_ahead[ahead] = np.cumsum(ahead_common < o)
+        _, first, which = np.unique(of_ahead[mine] * (len(spans) + 1) + of_after[mine], return_index=True, return_inverse=True)
+        later[mine, o] = first[which] != np.arange(len(mine))
+    return later
+
+
+def _intervals(later: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Span, start and end of the bytes that the marked strings cover, neighbouring ones joined. ``at``: places of the minimizers."""
+    edge = np.diff(np.pad(later.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    span, least = np.nonzero(edge == 1)
+    _, beyond = np.nonzero(edge == -1)
+    return span, at[span] - beyond + 1, at[span] - least + length
+
+
+def _cut(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (doc_id, lot, h, part, parts, at, size, off) with the bytes at each place: as they are for a run, as SHA-256 where h is null."""
+    fields = ["h", "part", "parts", "at", "size", "off"]
+    lists = wanted.groupBy("doc_id", "lot").agg(F.collect_list(F.struct(*fields)).alias("runs"))  # as many as the text has runs, or LIST
+    texts = documents.join(lists.hint("merge"), "doc_id").select("doc_id", "text", "runs")
 
-
-def _resolve(documents: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(doc_id, s, e): bytes of the ``wanted`` runs (h, doc_id, at, n, off) under windows that occur earlier in a run of the same minimizer."""
-    per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("h", "at", "n", "off")).alias("runs"))  # as many as the text has
-    texts = documents.join(per_doc.hint("merge"), "doc_id").select("doc_id", "text", "runs")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            runs = batch.column("runs")
-            bounds, flat = runs.offsets.to_numpy(), runs.values
-            h, at, n, off = (flat.field(c).to_numpy() for c in ("h", "at", "n", "off"))
-            for i, x in zip(batch.column("doc_id").to_pylist(), text_rows(batch.column("text"))):
+            lists = batch.column("runs")
+            bounds, flat = lists.offsets.to_pylist(), lists.values
+            columns = [flat.field(c) for c in fields]
+            docs = np.repeat(batch.column("doc_id").to_numpy(), np.diff(bounds))
+            begin, spans, held = bounds[0], [], 0
+            for x, a, b in zip(text_rows(batch.column("text")), bounds[:-1], bounds[1:]):
                 raw = x.tobytes()
-                k = len(bounds) and slice(bounds[0], bounds[1])
-                bounds = bounds[1:]
-                spans = [raw[a : a + m + length - 1] for a, m in zip(at[k].tolist(), n[k].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(h[k]), pa.array(np.full(len(spans), i)), pa.array(at[k]), pa.array(off[k]), pa.array(spans, pa.binary())], ["h", "doc_id", "at", "off", "span"])
+                found = [raw[p : p + n] if h is not None else hashlib.sha256(raw[p : p + n]).digest() for h, p, n in zip(*(columns[k].slice(a, b - a).to_pylist() for k in (0, 3, 4)))]
+                spans += found
+                held += sum(map(len, found))
+                if held > 1 << 24 or b == bounds[-1]:
+                    mine = [c.slice(begin, b - begin) for c in columns]
+                    yield pa.RecordBatch.from_arrays([pa.array(docs[begin - bounds[0] : b - bounds[0]]), *mine, pa.array(spans, pa.binary())], ["doc_id", *fields, "span"])
+                    begin, spans, held = b, [], 0
+
+    return texts.mapInArrow(run, "doc_id bigint, h bigint, part int, parts int, at bigint, size int, off int, span binary")
 
-    spans = texts.mapInArrow(cut, "h bigint, doc_id bigint, at bigint, off int, span binary")
-    parts = wanted.groupBy("h").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
-    met = spans.join(parts.hint("merge"), "h").withColumn("part", F.pmod(F.xxhash64("doc_id", "at"), F.col("parts")).cast("int"))
-    met = met.repartition("h", "part").sortWithinPartitions("h", "part", "doc_id", "at").select("h", "part", "parts", "doc_id", "at", "span", "off")
+
+def _sort(spans: DataFrame, length: int) -> DataFrame:
+    """(doc_id, s, e): bytes of the ``spans`` (h, part, parts, doc_id, at, off, span) under strings that occur earlier in a span of the same h."""
+    met = spans.repartition("h", "part").sortWithinPartitions("h", "part", "doc_id", "at").select("h", "part", "parts", "doc_id", "at", "off", "span")
+    sorted_at_once = SORTED
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "s", "e", "first", "check"]
         rows: list[tuple] = []
-        windows = 0
 
         def close() -> pa.RecordBatch:
-            keys = [r[:2] for r in rows]
-            groups = np.cumsum([0, *(a != b for a, b in zip(keys[1:], keys[:-1]))])
-            owner, place, later, hashes = repeated_windows([r[5] for r in rows], groups, np.array([r[6] for r in rows]), length)
-            out = [(rows[o][3], rows[o][4] + a, rows[o][4] + b, None, None) for o, a, b in _intervals(owner, place, later, length)]
-            # First occurrences in a part of a split group, to be held against those of the other parts.
-            split = np.flatnonzero(~later & np.array([r[2] > 1 for r in rows])[owner])
-            for o, p, one, two in zip(*(x[split].tolist() for x in (owner, place, hashes[0], hashes[1]))):
-                out.append((rows[o][3], rows[o][4] + p, rows[o][4] + p + length, one, two))
-            cols = list(zip(*out)) or [()] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
+            h, part, parts, doc, at, off, span = zip(*rows)
+            keys = np.array([h, part])
+            groups = np.cumsum(np.concatenate([[0], (keys[:, 1:] != keys[:, :-1]).any(0)]))
+            doc, at, off = (np.array(c, np.int64) for c in (doc, at, off))
+            later = repeated_windows(list(span), groups, off, length)
+            which, s, e = _intervals(later, at + off, length)
+            # Strings that are first in a part of a split group, to be held against those of the other parts.
+            apart = [(i, p) for i, many in enumerate(parts) if many > 1 for p in range(len(span[i]) - length + 1) if not later[i, off[i] - p]]
+            i, p = np.array(apart, np.int64).reshape(-1, 2).T
+            strings = [None] * len(s) + [span[x][y : y + length] for x, y in apart]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([doc[which], doc[i]])), pa.array(np.concatenate([s, at[i] + p])), pa.array(np.concatenate([e, at[i] + p + length])), pa.array(strings, pa.binary())], ["doc_id", "s", "e", "string"]
+            )
 
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("h", "part", "parts", "doc_id", "at", "span", "off"))):
-                if windows >= WINDOWS and r[:2] != rows[-1][:2]:
+            for r in zip(*(batch.column(c).to_pylist() for c in ("h", "part", "parts", "doc_id", "at", "off", "span"))):
+                if len(rows) >= sorted_at_once and r[:2] != rows[-1][:2]:
                     yield close()
-                    rows, windows = [], 0
+                    rows = []
                 rows.append(r)
-                windows += len(r[5]) - length + 1
         if rows:
             yield close()
 
-    found = materialize(met.mapInArrow(sort, "doc_id bigint, s bigint, e bigint, first bigint, check bigint"), "suffix-windows")
-    apart = found.where("first is not null")
+    found = materialize(met.mapInArrow(sort, "doc_id bigint, s bigint, e bigint, string binary"), "suffix-windows")
+    apart = found.where("string is not null")
     order = F.struct("doc_id", "s")
-    least = apart.groupBy("first", "check").agg(F.min(order).alias("least"))
-    late = apart.join(least.hint("merge"), ["first", "check"]).where(order > F.col("least"))
-    return found.where("first is null").select("doc_id", "s", "e").unionByName(late.select("doc_id", "s", "e"))
+    least = materialize(apart.groupBy("string").agg(F.min(order).alias("least")), "suffix-least")
+    late = apart.join(least.hint("merge"), "string").where(order > F.col("least"))
+    return found.where("string is null").select("doc_id", "s", "e").unionByName(late.select("doc_id", "s", "e"))
+
 
+def _segments(late: DataFrame, length: int) -> DataFrame:
+    """(doc_id, s, e, first_doc, first_s): stretches of neighbouring ``late`` runs (doc_id, at, n, first) whose first occurrences are neighbours too."""
+    per_doc = late.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "n", F.col("first.doc_id").alias("d"), F.col("first.at").alias("f")))).alias("runs"))
 
-def removed_intervals(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, s, e): byte ranges that go; they may overlap. ``documents``: doc_id, text, without null ids."""
-    runs = _runs(documents, length, gram)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("runs")
+            flat = lists.values
+            at, n, d, f = (flat.field(c).to_numpy() for c in ("at", "n", "d", "f"))
+            docs = np.repeat(batch.column("doc_id").to_numpy(), np.diff(lists.offsets.to_numpy()))
+            base = lists.offsets[0].as_py() if len(lists) else 0
+            at, n, d, f = (c[base : base + len(docs)] for c in (at, n, d, f))
+            new = np.concatenate([[True], (docs[1:] != docs[:-1]) | (d[1:] != d[:-1]) | (at[1:] != at[:-1] + n[:-1]) | (f[1:] != f[:-1] + n[:-1])]) if len(docs) else np.zeros(0, bool)
+            a = np.flatnonzero(new)
+            z = np.append(a[1:], len(docs)) - 1 if len(a) else a
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (docs[a], at[a], at[z] + n[z] + length - 1, d[a], f[a])], ["doc_id", "s", "e", "first_doc", "first_s"])
+
+    return per_doc.mapInArrow(run, "doc_id bigint, s bigint, e bigint, first_doc bigint, first_s bigint")
+
+
+def removed_intervals(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, span_bits: int = 64) -> DataFrame:
+    """(doc_id, s, e): byte ranges that go; they may overlap. ``documents``: doc_id, text, without null ids. Runs are compared by hashes of ``span_bits`` first."""
+    runs = _runs(documents, length, gram, span_bits)
+    # Small tables are written before they are joined, so that a frequent minimizer can be split where it is joined.
     twice = materialize(runs.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h"), "suffix-twice")
     again = materialize(runs.join(twice.hint("merge"), "h"), "suffix-runs")
-    place = F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 40).cast("decimal(14,0)") + F.col("at")
-    again = again.withColumn("place", place.cast("decimal(38,0)"))
-    classes = materialize(again.groupBy("h", "span").agg(F.min("place").alias("first")), "suffix-classes")
-    several = classes.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h", F.lit(True).alias("several"))
-    marked = classes.join(several.hint("merge"), "h", "left")
-    judged = materialize(
-        again.join(marked.hint("merge"), ["h", "span"]).where("place > first or several").select("h", "doc_id", "at", "n", "off", (F.col("place") > F.col("first")).alias("late")), "suffix-judged"
-    )
+    classes = materialize(again.groupBy("h", "span").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("times")), "suffix-classes")
+    kinds = materialize(classes.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "suffix-kinds")
+    marked = materialize(classes.join(kinds.hint("merge"), "h", "left").where("times > 1 or kinds > 1").select("h", "span", "first", F.coalesce("kinds", F.lit(1)).alias("kinds")), "suffix-marked")
+    judged = again.join(marked.hint("merge"), ["h", "span"])
+    is_late = F.struct("doc_id", "at") > F.col("first")
+    judged = materialize(judged.withColumn("late", is_late).where("late or kinds > 1"), "suffix-judged")
+    late, rims = judged.where("late"), judged.where("not late")
+
+    segments = materialize(_segments(late, length), "suffix-segments")
+    size = (F.col("e") - F.col("s")).cast("int").alias("size")
+    none = [F.lit(None).cast("bigint").alias("h"), F.lit(0).alias("part"), F.lit(1).alias("parts")]
+    firsts = segments.select(F.col("first_doc").alias("doc_id"), F.col("first_s").alias("at"), size).distinct()
+    # A document that very many others repeat is read by several rows.
+    lots = firsts.groupBy("doc_id").agg(F.ceil(F.count("*") / LIST).cast("int").alias("lots")).where("lots > 1")
+    firsts = firsts.join(materialize(lots, "suffix-lots").hint("merge"), "doc_id", "left")
+    lot = F.pmod(F.xxhash64("at", "size"), F.coalesce("lots", F.lit(1))).cast("int").alias("lot")
+    firsts = firsts.select("doc_id", lot, *none, "at", "size", F.lit(0).alias("off"))
+    mine = segments.select("doc_id", F.lit(0).alias("lot"), *none, F.col("s").alias("at"), size, F.lit(0).alias("off"))
+    parts = F.ceil(F.col("kinds") / GROUP).cast("int")
+    as_run = lambda df, parts: df.select("doc_id", F.lit(0).alias("lot"), "h", F.pmod(F.xxhash64("doc_id", "at"), parts).cast("int").alias("part"), parts.alias("parts"), "at", (F.col("n") + length - 1).cast("int").alias("size"), "off")
+    cut = materialize(_cut(documents, as_run(rims, parts).unionByName(mine).unionByName(firsts)), "suffix-cut")
+
+    digests = materialize(cut.where("h is null").select("doc_id", "at", "size", F.col("span").alias("digest")).distinct(), "suffix-digests")
+    of = lambda i: digests.select(F.col("doc_id").alias(f"d{i}"), F.col("at").alias(f"s{i}"), F.col("size").alias(f"size{i}"), F.col("digest").alias(f"digest{i}")).hint("merge")
+    held = segments.withColumn("size", size).join(of(1), (F.col("doc_id") == F.col("d1")) & (F.col("s") == F.col("s1")) & (F.col("size") == F.col("size1")))
+    held = held.join(of(2), (F.col("first_doc") == F.col("d2")) & (F.col("first_s") == F.col("s2")) & (F.col("size") == F.col("size2")))
+    wrong = materialize(held.where("digest1 != digest2").select(F.col("doc_id").alias("bad_doc"), F.col("s").alias("bad_s"), F.col("e").alias("bad_e")), "suffix-collisions")
+    spans = cut.where("h is not null")
+    if not wrong.isEmpty():  # two runs of one class have different bytes: their minimizers are judged run by run
+        inside = (F.col("doc_id") == F.col("bad_doc")) & (F.col("at") >= F.col("bad_s")) & (F.col("at") + F.col("n") + length - 1 <= F.col("bad_e"))
+        hit = materialize(late.join(wrong.hint("merge"), inside).select("h").distinct(), "suffix-hit")
+        whole = again.join(hit.hint("merge"), "h")
+        times = materialize(whole.groupBy("h").agg(F.count("*").alias("kinds")), "suffix-again")
+        spans = spans.join(hit.hint("merge"), "h", "left_anti").unionByName(_cut(documents, as_run(whole.join(times.hint("merge"), "h"), parts)))
+        late = late.join(hit.hint("merge"), "h", "left_anti")
+    rims = _sort(spans, length)
     discard(again)
-    whole = judged.where("late").select("doc_id", F.col("at").alias("s"), (F.col("at") + F.col("n") + length - 1).alias("e"))
-    rims = _resolve(documents, judged.where("not late").select("h", "doc_id", "at", "n", "off"), length)
-    return whole.unionByName(rims)
+    discard(cut)
+    return late.select("doc_id", F.col("at").alias("s"), (F.col("at") + F.col("n") + length - 1).alias("e")).unionByName(rims)
 
 
 def _merged(spans: np.ndarray) -> np.ndarray:
@@ -318,7 +389,7 @@ def row_keys(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keyed, single.select(F.col("row_key").alias("doc_id"), "text")
 
 
-def remove_repeats(documents: DataFrame, keep_text: bool = False, length: int = LENGTH) -> DataFrame:
+def remove_repeats(documents: DataFrame, keep_text: bool = False, length: int = LENGTH, span_bits: int = 64) -> DataFrame:
     """n_bytes, n_removed, n_spans and kept_sha256 of every document, after its columns but for ``text``.
 
     With ``keep_text`` the kept text is a column too; characters of which some bytes go, go whole there.
@@ -326,7 +397,7 @@ def remove_repeats(documents: DataFrame, keep_text: bool = False, length: int =
     names = [c for c in documents.columns if c not in ("doc_id", "text")]
     d = documents.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"), *names)
     d, single = row_keys(d)
-    gone = removed_intervals(single, length)
+    gone = removed_intervals(single, length, span_bits=span_bits)
     gone = gone.groupBy("doc_id").agg(F.collect_set(F.struct("s", "e")).alias("gone")).withColumnRenamed("doc_id", "row_key")  # as many as the text has
     joined = d.join(gone.hint("merge"), "row_key", "left").select(*names, F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), "text", "gone")
     made = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if keep_text else [])]
