@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm.quality_rules import MIN_DOCS, RULES, SPREAD
+from tidemark.llm.quality_rules import PERCENTS, PRIOR, RULES
 
 _SPACE = r"[^\x20\x09-\x0D]+"
 
@@ -10,16 +10,19 @@ _SPACE = r"[^\x20\x09-\x0D]+"
 def _quality_rules() -> str:
     """Words by regular expression, windows by unnesting; fences from the same integer buckets, level by level."""
     values = ", ".join(f"({i}, CASE WHEN {r.bottom} > 0 THEN (1000 * {r.top}) // {r.bottom} ELSE 0 END)" for i, r in enumerate(RULES))
-    slack = "CASE rule " + " ".join(f"WHEN {i} THEN {r.slack}" for i, r in enumerate(RULES)) + " END"
-    both = "rule IN (" + ", ".join(str(i) for i, r in enumerate(RULES) if r.both_sides) + ")"
+    high = "CASE v.rule " + " ".join(f"WHEN {i} THEN {r.high}" for i, r in enumerate(RULES)) + " END"
+    low = "CASE v.rule " + " ".join(f"WHEN {i} THEN {r.low}" for i, r in enumerate(RULES) if r.low is not None) + " END"
+    mean = lambda i, p, parent: f"coalesce((l{i}.total * l{i}.q{p} + {PRIOR} * {parent}) // (l{i}.total + {PRIOR}), {parent})"
+    shrunk = lambda p: mean(0, p, mean(1, p, f"l2.q{p}"))
     names = "CASE rule " + " ".join(f"WHEN {i} THEN '{r.name}'" for i, r in enumerate(RULES)) + " END"
 
     def level(i: int, keys: str) -> str:
         by = keys + ", " if keys else ""
+        quantiles = ", ".join(f"min(CASE WHEN upto * 100 >= total * {p} THEN {'low' if p < 50 else 'high'} END) AS q{p}" for p in PERCENTS)
         return f"""l{i} AS (
-  SELECT {by}rule, max(total) AS total, min(CASE WHEN upto * 10 >= total THEN low END) AS q10, min(CASE WHEN upto * 2 >= total THEN low END) AS q50
-  FROM (SELECT {by}rule, low, sum(n) OVER (PARTITION BY {by}rule ORDER BY low) AS upto, sum(n) OVER (PARTITION BY {by}rule) AS total
-        FROM (SELECT {by}rule, low, count(*) AS n FROM buckets GROUP BY {by}rule, low))
+  SELECT {by}rule, max(total) AS total, {quantiles}
+  FROM (SELECT {by}rule, low, high, sum(n) OVER (PARTITION BY {by}rule ORDER BY low) AS upto, sum(n) OVER (PARTITION BY {by}rule) AS total
+        FROM (SELECT {by}rule, low, high, count(*) AS n FROM buckets GROUP BY {by}rule, low, high))
   GROUP BY {by}rule)"""
 
     return f"""WITH base AS (
@@ -43,21 +46,18 @@ stats AS (
   FROM base LEFT JOIN repeated USING (r) LEFT JOIN lines USING (r)),
 vals AS (SELECT r, lang, source, base_failed, x[1] AS rule, x[2] AS v FROM (SELECT *, unnest([{values}]) AS x FROM stats)),
 buckets AS (
-  SELECT lang, source, rule, CASE WHEN v < 64 THEN v ELSE (v >> (length(bin(v)) - 6)) << (length(bin(v)) - 6) END AS low
-  FROM vals WHERE NOT base_failed),
+  SELECT lang, source, rule, (v >> shift) << shift AS low, (((v >> shift) + 1) << shift) - 1 AS high
+  FROM (SELECT *, greatest(length(bin(v)) - 6, 0) AS shift FROM vals WHERE NOT base_failed)),
 {level(0, "lang, source")},
 {level(1, "lang")},
 {level(2, "")},
 judged AS (
-  SELECT r, v.rule AS rule, v, slack, both_sides, CASE WHEN l0.total >= {MIN_DOCS} THEN l0.q10 WHEN l1.total >= {MIN_DOCS} THEN l1.q10 ELSE l2.q10 END AS q10,
-         CASE WHEN l0.total >= {MIN_DOCS} THEN l0.q50 WHEN l1.total >= {MIN_DOCS} THEN l1.q50 ELSE l2.q50 END AS q50
-  FROM (SELECT *, {slack} AS slack, {both} AS both_sides FROM vals) v
+  SELECT r, v.rule AS rule, v, {shrunk(90)} + ({high} * ({shrunk(99)} - {shrunk(90)})) // 8 AS hi, {shrunk(10)} - ({low} * ({shrunk(10)} - {shrunk(1)})) // 8 AS lo
+  FROM vals v
   LEFT JOIN l0 ON l0.rule = v.rule AND l0.lang IS NOT DISTINCT FROM v.lang AND l0.source IS NOT DISTINCT FROM v.source
   LEFT JOIN l1 ON l1.rule = v.rule AND l1.lang IS NOT DISTINCT FROM v.lang
   LEFT JOIN l2 ON l2.rule = v.rule),
-broken AS (
-  SELECT r, string_agg({names}, ',' ORDER BY rule) AS broken FROM judged
-  WHERE v > q50 + greatest(slack, {SPREAD} * (q50 - q10)) OR both_sides AND v < q50 - greatest(slack, {SPREAD} * (q50 - q10)) GROUP BY r)
+broken AS (SELECT r, string_agg({names}, ',' ORDER BY rule) AS broken FROM judged WHERE v > hi OR v < lo GROUP BY r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
        NOT base_failed AND broken IS NULL AS kept, coalesce(broken, '') AS broken
 FROM stats LEFT JOIN broken USING (r)"""

@@ -2,8 +2,11 @@
 
 One pass over the whole texts takes plain counts. A mergeable quantile sketch of each ratio, per language and source,
 then gives the fences that a document must keep. The sketch is a log-linear histogram: integer buckets at most 1/32
-wide, so two sketches merge by adding counts, and building one is a partial aggregation however large a source is. Where a
-source has too few documents its sketch is merged with those of its language, then of all languages.
+wide, so two sketches merge by adding counts, and building one is a partial aggregation however large a source is.
+
+A fence stands where quantiles of the group put it: from the 90th percentile a share of the way to the 99th, or beyond it; a low one
+likewise from the 10th to the 1st. The quantiles of a group are averaged with those of its language, and these with those
+of all documents, with the weight of PRIOR documents: so a small source leans on its parent and a large one stands for itself.
 
 Defined results: a null or empty text has zero words and fails the base rule; null language and null source are groups
 of their own; each repeated row is judged by itself; other columns of the input are ignored.
@@ -30,25 +33,25 @@ STATS = "doc_id bigint, lang string, source string, n_words bigint, word_chars b
 
 @dataclass(frozen=True)
 class Rule:
-    """A ratio in thousandths, how far it may leave the median at least, and whether low values fail too."""
+    """A ratio in thousandths, and how far the fences stand beyond the 90th and 10th percentile, in eighths of the way to the 99th and 1st."""
 
     name: str
     top: str
     bottom: str
-    slack: int
-    both_sides: bool = False
+    high: int
+    low: int | None = None
 
 
 RULES = (
-    Rule("mean_word", "word_chars", "n_words", 1500, both_sides=True),
-    Rule("symbols", "n_symbols", "n_words", 100),
-    Rule("dup_lines", "n_dup_lines", "n_lines", 500),
-    Rule("repeats", "n_repeat_words", "n_words", 300),
+    Rule("mean_word", "word_chars", "n_words", 4, 12),
+    Rule("symbols", "n_symbols", "n_words", 1),
+    Rule("dup_lines", "n_dup_lines", "n_lines", 12),
+    Rule("repeats", "n_repeat_words", "n_words", 16),
 )
-#: A fence stands this many times the distance from the 10th percentile to the median away from the median.
-SPREAD = 6
-#: Sketches of fewer documents are merged with their language's, then with all.
-MIN_DOCS = 200
+#: Percentiles of the sketches: from low buckets the lower edge, from high ones the upper edge is taken.
+PERCENTS = (1, 10, 90, 99)
+#: Weight, in documents, of the quantiles of the language for a source, and of all documents for a language.
+PRIOR = 200
 #: Each row of the small threshold table is repeated for so many parts of a source, so that one source is not one task.
 SALTS = 16
 
@@ -117,46 +120,42 @@ def sketches(stats: DataFrame) -> DataFrame:
 
 
 def _quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """The 10th and 50th percentile of each rule for the sketches merged over ``keys``."""
+    """``total`` and the PERCENTS of each rule, ``q1`` to ``q99``, for the sketches merged over ``keys``."""
     merged = sketch.groupBy(*keys, "rule", "bucket").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*keys, "rule")
     ranked = merged.select("*", F.sum("n").over(w.orderBy("bucket")).alias("upto"), F.sum("n").over(w).alias("total"))
     shift = "cast(greatest(bucket div 32 - 1, 0) as int)"
-    low = F.expr(f"shiftleft(bucket - 32 * {shift}, {shift})")
-    return ranked.groupBy(*keys, "rule").agg(
-        F.max("total").alias("total"),
-        F.min(F.when(F.col("upto") * 10 >= F.col("total"), low)).alias("q10"),
-        F.min(F.when(F.col("upto") * 2 >= F.col("total"), low)).alias("q50"),
-    )
+    low = f"shiftleft(bucket - 32 * {shift}, {shift})"
+    edge = lambda p: F.expr(low if p < 50 else f"{low} + shiftleft(1L, {shift}) - 1")
+    return ranked.groupBy(*keys, "rule").agg(F.max("total").alias("total"), *(F.min(F.when(F.col("upto") * 100 >= F.col("total") * p, edge(p))).alias(f"q{p}") for p in PERCENTS))
 
 
-def thresholds(stats: DataFrame, sketch: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def thresholds(stats: DataFrame, sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
     """One row per language and source: the fences ``lo_<rule>`` and ``hi_<rule>``."""
-    rules = F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(r.slack).cast("bigint").alias("slack"), F.lit(r.both_sides).alias("both_sides")) for r in RULES))
-    pairs = stats.select("lang", "source").distinct().select("lang", "source", F.inline(rules))
-    levels = []
-    for i, keys in enumerate((["lang", "source"], ["lang"], [])):
+    rules = F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(r.high).alias("high"), F.lit(r.low).alias("low")) for r in RULES))
+    out = stats.select("lang", "source").distinct().select("lang", "source", F.inline(rules))
+    levels = (["lang", "source"], ["lang"], [])
+    for i, keys in enumerate(levels):
         q = _quantiles(sketch, keys)
-        levels.append(q.select(*(F.col(k).alias(f"{k}_{i}") for k in keys), F.col("rule").alias(f"rule_{i}"), *(F.col(c).alias(f"{c}_{i}") for c in ("total", "q10", "q50"))))
-    out = pairs
-    for i, (keys, level) in enumerate(zip((["lang", "source"], ["lang"], []), levels)):
+        q = q.select(*(F.col(k).alias(f"{k}_{i}") for k in keys), F.col("rule").alias(f"rule_{i}"), *(F.col(c).alias(f"{c}_{i}") for c in ("total", *(f"q{p}" for p in PERCENTS))))
         same = F.col("rule") == F.col(f"rule_{i}")
         for k in keys:
             same &= F.col(k).eqNullSafe(F.col(f"{k}_{i}"))
-        out = out.join(level, same, "left")
-    enough = lambda i: F.col(f"total_{i}") >= min_docs
-    for c in ("q10", "q50"):
-        out = out.withColumn(c, F.when(enough(0), F.col(f"{c}_0")).when(enough(1), F.col(f"{c}_1")).otherwise(F.col(f"{c}_2")))
-    away = F.greatest(F.col("slack"), SPREAD * (F.col("q50") - F.col("q10")))
-    out = out.select("lang", "source", "rule", (F.col("q50") + away).alias("hi"), F.when(F.col("both_sides"), F.col("q50") - away).alias("lo"))
+        out = out.join(q, same, "left")
+    for p in PERCENTS:
+        out = out.withColumn(f"q{p}", F.col(f"q{p}_2"))
+        for i in (1, 0):
+            out = out.withColumn(f"q{p}", F.coalesce(F.expr(f"(total_{i} * q{p}_{i} + {prior} * q{p}) div (total_{i} + {prior})"), F.col(f"q{p}")))
+    high, low = F.expr("q90 + (high * (q99 - q90)) div 8"), F.expr("q10 - (low * (q10 - q1)) div 8")
+    out = out.select("lang", "source", "rule", high.alias("hi"), low.alias("lo"))
     return out.groupBy("lang", "source").agg(*(F.max(F.when(F.col("rule") == r.name, F.col(c))).alias(f"{c}_{r.name}") for r in RULES for c in ("hi", "lo")))
 
 
-def quality_rules(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def quality_rules(documents: DataFrame, prior: int = PRIOR) -> DataFrame:
     """Every document with its counts, ``base_failed``, the rules it breaks and ``kept``."""
     stats = materialize(statistics(documents), "quality-stats")
     sketch = materialize(sketches(stats), "quality-sketch")
-    fences = thresholds(stats, sketch, min_docs)
+    fences = thresholds(stats, sketch, prior)
     fences = fences.select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), *(c for c in fences.columns if c not in ("lang", "source")))
     fences = fences.withColumn("f_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = stats.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
