@@ -345,6 +345,40 @@ def test_embeddings_dense_range(spark):
     assert 0.99 * expected.sum() <= sum(got.values()) <= expected.sum()
 
 
+def test_embeddings_do_not_depend_on_partitions(spark):
+    """Windows follow from the global rank: the edges of a pass are the same in any partitioning, and small ranges lose none."""
+    rng = np.random.default_rng(14)
+    x = rng.standard_normal((3000, 16))
+    x[1::2] = x[::2] + 0.06 * rng.standard_normal((1500, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    before, out = spark.conf.get("spark.sql.shuffle.partitions"), []
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    try:
+        spark.conf.set(coalesce, "false")
+        for n in ("3", "61"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            out.append(sorted(map(tuple, embedding_dedup.near_duplicates(df.repartition(int(n)), block=16).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset(coalesce)
+    assert out[0] == out[1]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    assert near.sum() > 2000 and sum(r[1] for r in out[0]) >= 0.97 * near.sum()
+
+
+def test_plants_measure_recall(spark):
+    """The share of plants that meet is the share of such pairs that passes find."""
+    rng = np.random.default_rng(15)
+    x = rng.standard_normal((2000, 24))
+    good = embedding_dedup.usable(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>"))
+    edges, share = embedding_dedup._edges(common.materialize(embedding_dedup._classes(good), "test-vectors"), 0.95, 16)
+    assert edges.where("a < 0 or b < 0 or a >= 2000").count() == 0
+    assert share >= embedding_dedup.TARGET
+    assert np.allclose((embedding_dedup.partners(x / np.linalg.norm(x, axis=1, keepdims=True), 0.95) * x).sum(1) / np.linalg.norm(x, axis=1), 0.95)
+
+
 def test_spanning_forest_of_a_matrix():
     rng = np.random.default_rng(2)
     near = rng.random((90, 90)) < 0.01

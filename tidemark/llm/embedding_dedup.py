@@ -1,14 +1,18 @@
-"""Embedding near-duplicates by passes of nearest pivots (operator 5).
+"""Embedding near-duplicates by sorted projection passes (operator 5).
 
-Each pass draws vectors as pivots, one for BLOCK rows, and places every vector in the cells of its NEAREST pivots; all vectors
-of a cell are compared, in double precision, and the pairs that reach the threshold unite. Pivots are drawn from the rows, so a
-dense part of the space is cut as finely as the rest. The passes only have to connect a cluster: links are then
-counted exactly among all vectors of each component, block by block, without emitting them. Equal vectors are one
-class throughout and count with their number.
+Each pass gives every vector a row of random hashes, sorts all vectors lexicographically by it and compares each with its neighbours
+in that order, in double precision; the pairs that reach the threshold unite across passes. A hash is the number of the nearest
+of pivots, vectors drawn from the rows anew for each pass, so that a dense part of the space is cut as finely as the rest;
+the last one is a projection on a random direction. Windows follow from the global rank: a vector of block b, BLOCK
+ranks wide, meets all of the blocks b - 1 to b + 1, whatever the partitions are.
 
-Recall: a pair is missed only if no pass puts its component's vectors into one cell. How often that happens depends on the number
-and the density of the rows, so passes are added until the pivots have brought TARGET of many probes together: rows of the
-table, each with a made-up partner just at the threshold, off in a random direction or along its neighbourhood.
+The passes only have to connect a cluster: links are then counted exactly among all vectors of each component, block by
+block, without emitting them. Equal vectors are one class throughout and count with their number.
+
+Recall: a pair is missed only if no pass puts its component's vectors into one window. How often that happens depends on the number
+and the density of the rows, so passes are added until TARGET of the plants have met their originals: rows of the table, each
+with a made-up partner just at the threshold, off in a random direction or along its neighbourhood, go through each pass along with the
+table and take no other part.
 
 Defined results: a vector that is null, zero, or holds null or non-finite components, and one whose length differs from
 another's, links with nothing there; it is a component of its own and kept. Repeated rows are judged each by their id.
@@ -23,19 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, materialize
+from tidemark.llm.common import connected_components, discard, materialize
 
 THRESHOLD = 0.95
-#: Rows for each pivot; tables of fewer rows are compared whole.
-BLOCK = 512
-#: Cells that a vector is placed in.
-NEAREST = 4
-#: Share of the probes that meet before passes end, the number of probes, and the most passes.
-TARGET, PROBES, PASSES = 0.999, 2000, 32
-#: Numbers in the pivots of one pass, of all lengths of vectors together; beyond, cells grow with the table.
-PIVOT_NUMBERS = 1 << 22
+#: Ranks of a block; and blocks that a task compares.
+BLOCK, SUPER = 1024, 16
+#: Share of the plants that meet before passes end, the number of plants, and the most passes.
+TARGET, PLANTS, PASSES = 0.995, 2000, 48
+#: Pivots of one hash, numbers in the pivots of one pass, of all lengths of vectors together, and pivots of a second hash that only orders within a block.
+PIVOTS, PIVOT_NUMBERS, FINE = 4096, 1 << 22, 64
 #: Vectors of one component that a task compares with as many others.
-CHUNK = 1024
+CHUNK = 2048
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -68,15 +70,13 @@ def _classes(good: DataFrame) -> DataFrame:
 
 
 def nearest(u: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Indices of the NEAREST pivots of each row."""
-    pivots = pivots.astype(np.float32)
-    m = min(NEAREST, len(pivots))
-    out = [np.argpartition(-(u[at : at + 1024].astype(np.float32) @ pivots.T), m - 1, axis=1)[:, :m] for at in range(0, len(u), 1024)]
-    return np.concatenate(out) if out else np.zeros((0, m), np.int64)
+    """The index of the nearest pivot of each row."""
+    out = [np.argmax(u[at : at + 4096].astype(np.float32) @ pivots.T, axis=1) for at in range(0, len(u), 4096)]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def probes(rows: np.ndarray, threshold: float, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """The rows and a partner of each at cosine ``threshold``: by turns off at random and along the difference of two close rows."""
+def partners(rows: np.ndarray, threshold: float, seed: int = 5) -> np.ndarray:
+    """A partner of each row at cosine ``threshold``: by turns off at random and along the difference of two close rows."""
     rng = np.random.default_rng(seed)
     off = rng.standard_normal(rows.shape)
     if len(rows) > 16:
@@ -87,21 +87,17 @@ def probes(rows: np.ndarray, threshold: float, seed: int = 5) -> tuple[np.ndarra
     off -= (off * rows).sum(1, keepdims=True) * rows
     size = np.linalg.norm(off, axis=1, keepdims=True)
     off /= np.where(size > 1e-9, size, 1)
-    return rows, threshold * rows + np.sqrt(max(0.0, 1 - threshold**2)) * off
-
-
-def meet(one: np.ndarray, two: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Which of the pairs share a cell."""
-    return (nearest(one, pivots)[:, :, None] == nearest(two, pivots)[:, None, :]).any((1, 2))
+    return threshold * rows + np.sqrt(max(0.0, 1 - threshold**2)) * off
 
 
-def _drawn(classes: DataFrame, wanted: dict[int, int], counts: dict[int, int], seed: int) -> dict[int, np.ndarray]:
-    """About ``wanted`` vectors of each length, one at least, chosen by a hash of the id."""
+def _drawn(classes: DataFrame, wanted: dict[int, int], counts: dict[int, int], seed: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of about ``wanted`` rows of each length, one at least, chosen by a hash of the id."""
     share = F.create_map(*(F.lit(x) for d, n in wanted.items() for x in (d, min(1.0, 1.2 * (n + 10) / counts[d]))))
     hash_ = F.pmod(F.xxhash64("rep", F.lit(seed)), F.lit(1 << 30))
     rows = classes.where(hash_ < share[F.col("dim")] * (1 << 30)).select("dim", "u", hash_.alias("hash"), "rep").toArrow().sort_by([("hash", "ascending"), ("rep", "ascending")])
     dims = rows.column("dim").to_numpy()
-    return {int(d): _matrix(rows.column("u").take(pa.array(np.flatnonzero(dims == d)[: wanted[d]]))) for d in np.unique(dims)}
+    chosen = {int(d): pa.array(np.flatnonzero(dims == d)[: wanted[d]]) for d in np.unique(dims)}
+    return {d: (rows.column("rep").take(at).to_numpy(), _matrix(rows.column("u").take(at))) for d, at in chosen.items()}
 
 
 def spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,65 +118,111 @@ def spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(a), np.concatenate(b)
 
 
-def cell_edges(ids: np.ndarray, u: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links among the vectors of one cell, as spanning forests of its blocks of two chunks."""
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i in range(0, len(ids), CHUNK):
-        for j in range(i, len(ids), CHUNK):
-            near = u[i : i + CHUNK] @ u[j : j + CHUNK].T >= threshold
-            if i == j:
-                np.fill_diagonal(near, False)
-                x, y = spanning(near)
-                at = np.arange(i, i + len(near))
-            else:
-                rows, cols = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
-                both = np.zeros((len(rows) + len(cols),) * 2, bool)
-                both[: len(rows), len(rows) :] = near[np.ix_(rows, cols)]
-                x, y = spanning(both | both.T)
-                at = np.concatenate([i + rows, j + cols])
-            a.append(ids[at[x]])
-            b.append(ids[at[y]])
-    return np.concatenate(a), np.concatenate(b)
-
+def _sorted(rows: DataFrame, hashes: dict[int, tuple[np.ndarray, ...]]) -> DataFrame:
+    """``rows`` (rep, dim, plant, u) with ``rank``, their place in the lexicographic order of the hashes.
 
-def _pass(classes: DataFrame, pivots: dict[int, np.ndarray], threshold: float) -> DataFrame:
-    """Edges (a, b) of one pass: spanning forests of the links found in each cell."""
+    ``hashes``: for each length the pivots of two hashes and a direction.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(hashes)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             dims = b.column("dim").to_numpy()
+            one, two, along = np.zeros(len(dims), np.int32), np.zeros(len(dims), np.int32), np.zeros(len(dims))
             for d in np.unique(dims):
-                rows = np.flatnonzero(dims == d)
-                u = b.column("u").take(pa.array(rows))
-                # A length of which no pivot was drawn has few vectors: one cell.
-                cells = nearest(_matrix(u), pivots[int(d)]) if int(d) in pivots else np.zeros((len(rows), 1), np.int64)
-                again = pa.array(np.repeat(rows, cells.shape[1]))
-                yield pa.RecordBatch.from_arrays([b.column("dim").take(again), pa.array(cells.ravel().astype(np.int64)), b.column("rep").take(again), b.column("u").take(again)], ["dim", "cell", "rep", "u"])
-
-    def compare(key: tuple, rows: pa.Table) -> pa.Table:
-        a, b = cell_edges(rows.column("rep").to_numpy(), _matrix(rows.column("u")), threshold)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    placed = classes.select("rep", "dim", "u").mapInArrow(place, "dim int, cell bigint, rep bigint, u array<double>")
-    return placed.groupBy("dim", "cell").applyInArrow(compare, "a bigint, b bigint")
-
-
-def _edges(classes: DataFrame, threshold: float, block: int) -> DataFrame:
-    """Edges of as many passes as it takes to bring TARGET of the probes together."""
+                if int(d) in shared.value:  # a length of which no pivot was drawn has few vectors
+                    at = np.flatnonzero(dims == d)
+                    u = _matrix(b.column("u").take(pa.array(at)))
+                    first, second, direction = shared.value[int(d)]
+                    one[at], two[at], along[at] = nearest(u, first), nearest(u, second), u @ direction
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("rep", "dim", "plant", "u")), pa.array(one), pa.array(two), pa.array(along)], ["rep", "dim", "plant", "u", "one", "two", "along"])
+
+    keys = ["dim", "one", "two", "along", "rep", "plant"]
+    hashed = rows.select("rep", "dim", "plant", "u").mapInArrow(run, "rep bigint, dim int, plant boolean, u array<double>, one int, two int, along double")
+    place = F.monotonically_increasing_id()  # the partition above 33 bits that count its rows
+    ordered = hashed.repartitionByRange(*keys).sortWithinPartitions(*keys).select("rep", "dim", "plant", "u", F.shiftright(place, 33).alias("range"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+    ordered = materialize(ordered, "vectors-sorted")
+    counts = sorted((r["range"], r["count"]) for r in ordered.groupBy("range").count().collect())  # a row for each task
+    before = np.cumsum([0, *(n for _, n in counts)]).tolist()
+    starts = rows.sparkSession.createDataFrame([(part, n) for (part, _), n in zip(counts, before)], "range bigint, start bigint")
+    return ordered.join(F.broadcast(starts), "range").withColumn("rank", F.col("start") + F.col("at")).drop("range", "start", "at")
+
+
+def window_edges(reps: np.ndarray, u: np.ndarray, plant: np.ndarray, block: np.ndarray, own: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links (a, b) of the rows of each ``own`` block among themselves and with the block after it, as spanning forests, and the plants that meet their originals.
+
+    Rows are in order of their ranks and of one length.
+    """
+    a, b, met = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in np.unique(block[own]).tolist():
+        mine, rest = np.flatnonzero(block == k), np.flatnonzero(block == k + 1)
+        every = np.concatenate([mine, rest])
+        near = np.zeros((len(every),) * 2, bool)
+        near[: len(mine)] = u[mine] @ u[every].T >= threshold
+        near[:, plant[every]] = False
+        near[plant[every]] = False
+        np.fill_diagonal(near, False)
+        x, y = spanning(near | near.T)
+        a.append(reps[every[x]])
+        b.append(reps[every[y]])
+        for here, there in ((mine, every), (every, mine)):
+            met.append(np.intersect1d(reps[here[plant[here]]], reps[there[~plant[there]]]))
+    return np.concatenate(a), np.concatenate(b), np.unique(np.concatenate(met))
+
+
+def _pass(rows: DataFrame, hashes: dict[int, tuple[np.ndarray, ...]], threshold: float, block: int) -> DataFrame:
+    """(a, b) of one pass: spanning forests of the links found in each window, and (a, null) for a plant of a that met it."""
+    ranked = _sorted(rows, hashes)
+    width = block * SUPER
+    group = F.floor(F.col("rank") / width).cast("bigint")
+    into = F.when((F.col("rank") % width < block) & (F.col("rank") >= width), F.array(group, group - 1)).otherwise(F.array(group))
+    met = ranked.withColumn("block", F.floor(F.col("rank") / block).cast("bigint")).select("rep", "dim", "plant", "u", "rank", "block", group.alias("home"), F.explode(into).alias("group"))
+
+    def compare(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by("rank")
+        dims, reps, plant, blocks = (t.column(c).to_numpy() for c in ("dim", "rep", "plant", "block"))
+        own = t.column("home").to_numpy() == key[0].as_py()
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        found = []
+        for d in np.unique(dims):
+            at = np.flatnonzero(dims == d)
+            x, y, z = window_edges(reps[at], _matrix(t.column("u").take(pa.array(at))), plant[at].astype(bool), blocks[at], own[at], threshold)
+            a.append(x)
+            b.append(y)
+            found.append(z)
+        z = np.concatenate(found)
+        return pa.table({"a": pa.array(np.concatenate([*a, z]), pa.int64()), "b": pa.array([*np.concatenate(b).tolist(), *[None] * len(z)], pa.int64())})
+
+    out = materialize(met.groupBy("group").applyInArrow(compare, "a bigint, b bigint"), "vectors-pass")
+    discard(ranked)
+    return out
+
+
+def _edges(classes: DataFrame, threshold: float, block: int) -> tuple[DataFrame | None, float]:
+    """Edges of as many passes as it takes for TARGET of the plants to meet their originals; and the share that did."""
+    spark = classes.sparkSession
     counts = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().collect()}
-    wanted = {d: max(1, min(-(-n // block), PIVOT_NUMBERS // d // len(counts))) for d, n in counts.items()}
-    pairs = {d: probes(x, threshold) for d, x in _drawn(classes, {d: min(n, max(1, PROBES * n // sum(counts.values()))) for d, n in counts.items()}, counts, -1).items()} if counts else {}
-    met = {d: np.zeros(len(one), bool) for d, (one, _) in pairs.items()}
-    edges = None
+    total = sum(counts.values())
+    if not total:
+        return None, 1.0
+    drawn = _drawn(classes, {d: min(n, max(1, PLANTS * n // max(total, 8 * PLANTS))) for d, n in counts.items()}, counts, -1)
+    planted = [(int(i), d, True, x.tolist()) for d, (ids, u) in drawn.items() for i, x in zip(ids, partners(u, threshold))]
+    rows = classes.select("rep", "dim", F.lit(False).alias("plant"), "u").unionByName(spark.createDataFrame(planted, "rep bigint, dim int, plant boolean, u array<double>"))
+    rows = materialize(rows, "vectors-planted")
+    most = {d: max(1, min(PIVOTS, PIVOT_NUMBERS // (2 * d * len(counts)))) for d in counts}
+    coarse = {d: min(most[d], -(-n // block)) for d, n in counts.items()}
+    fine = {d: most[d] if counts[d] > block * most[d] else min(most[d], FINE) for d in counts}
+    edges, met = None, set()
     for seed in range(PASSES):
-        pivots = _drawn(classes, wanted, counts, seed) if counts else {}
-        found = materialize(_pass(classes, pivots, threshold), "vectors-pass")
+        pivots = _drawn(classes, {d: coarse[d] + fine[d] for d in counts}, counts, seed)
+        direction = np.random.default_rng(seed)
+        hashes = {d: (u[: coarse[d]].astype(np.float32), u[coarse[d] :].astype(np.float32) if len(u) > coarse[d] else u[:1].astype(np.float32), direction.standard_normal(u.shape[1])) for d, (_, u) in sorted(pivots.items())}
+        found = _pass(rows, hashes, threshold, block)
         edges = found if edges is None else edges.unionByName(found)
-        for d, (one, two) in pairs.items():
-            met[d] |= meet(one, two, pivots[d]) if d in pivots else True
-        if all(m.mean() >= TARGET for m in met.values()):
+        met |= {r["a"] for r in found.where("b is null").select("a").distinct().collect()}  # PLANTS at most
+        if len(met) >= TARGET * len(planted):
             break
-    return edges
+    return edges.where("b is not null"), len(met) / len(planted)
 
 
 def _link_counts(classes: DataFrame, components: DataFrame, threshold: float) -> DataFrame:
@@ -206,10 +248,13 @@ def _link_counts(classes: DataFrame, components: DataFrame, threshold: float) ->
             for d in np.unique(dims):
                 p, o = np.flatnonzero((role == 0) & (dims == d)), np.flatnonzero((role == 1) & (dims == d))
                 if len(p) and len(o):
-                    near = _matrix(lists.take(pa.array(p))) @ _matrix(lists.take(pa.array(o))).T >= threshold
-                    near &= reps[p][:, None] != reps[o][None, :]
-                    ids.append(reps[p])
-                    n.append(near.astype(np.int64) @ copies[o])
+                    others = _matrix(lists.take(pa.array(o))).T
+                    for at in range(0, len(p), 512):
+                        q = p[at : at + 512]
+                        near = _matrix(lists.take(pa.array(q))) @ others >= threshold
+                        near &= reps[q][:, None] != reps[o][None, :]
+                        ids.append(reps[q])
+                        n.append(near @ copies[o])
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids), pa.int64()), pa.array(np.concatenate(n), pa.int64())], ["rep", "others"])
 
         for batch in batches:
@@ -235,8 +280,10 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, block:
     """vec_id, n_links, component_id and kept of every vector."""
     good = usable(embeddings)
     classes = materialize(_classes(good), "vectors")
-    edges = _edges(classes, threshold, block)
-    components = materialize(connected_components(materialize(edges, "vector-edges")), "vector-components")
+    edges, _ = _edges(classes, threshold, block)
+    if edges is None:
+        edges = embeddings.sparkSession.createDataFrame([], "a bigint, b bigint")
+    components = materialize(connected_components(edges), "vector-components")
     counts = _link_counts(classes, components, threshold)
     told = classes.select("rep", "copies").join(components, F.col("rep") == F.col("id"), "left").join(counts, "rep", "left")
     told = told.select("rep", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
