@@ -108,10 +108,12 @@ def plain_model(urls):
 
 
 def test_url_scores_equal_a_plain_model(spark):
-    urls = ["http://good.example.com/en/71", "http://fine.example.com/en/72", "http://bad.com/en/1", "http://bad.org/es/2", "http://worse.net/de/3", "http://good.fr/x", "ftp://ü", ""]
+    urls = [f"http://{w}.example.com/en/7{i}" for i, w in enumerate(("good", "fine", "nice"))] + [f"http://{w}/{i}" for i, w in enumerate(("bad.com/en", "bad.org/es", "worse.net/de", "x.net/de"))]
+    urls += ["http://good.fr/x", "ftp://ü", ""]
     rows = {r.page_id: r for r in url_filter.url_filter(pages(spark, [(i, u, "") for i, u in enumerate(urls)])).collect()}
-    code, yes = plain_model([u for u in urls if plain_judgement(u)[3] == "allow"])
-    _, no = plain_model([u for u in urls if plain_judgement(u)[3] == "block"])
+    trains = lambda u, verdict: plain_judgement(u)[3] == verdict and hashlib.md5(u.encode()).hexdigest()[0] not in url_filter.ASIDE
+    code, yes = plain_model([u for u in urls if trains(u, "allow")])
+    _, no = plain_model([u for u in urls if trains(u, "block")])
     for i, u in enumerate(urls):
         c = code(u)
         total = sum(round(np.log(yes(*c[k - 2 : k + 1]) / no(*c[k - 2 : k + 1])) * 1e6) for k in range(2, len(c)))
@@ -122,6 +124,35 @@ def test_url_threshold(spark):
     scored = spark.createDataFrame([(True, 5000), (True, 9000), (True, -100), (False, -7000), (False, 2000), (False, -8000)], "accepted boolean, score bigint")
     assert url_filter.threshold(scored).first().threshold in (-1000, 5000, 3000, 4000)
     assert url_filter.threshold(scored.limit(0)).first().threshold == 0
+    assert url_filter.threshold(scored.where("accepted")).first().threshold == 0
+
+
+def test_calibration_is_held_out(spark):
+    """URLs set aside do not change the model: the ratios are those without them."""
+    urls = [(f"http://a{i}.example.com/en/7", True) for i in range(40)] + [(f"http://b{i}.com/en/x{i}", False) for i in range(40)]
+    df = spark.createDataFrame([(i, *u) for i, u in enumerate(urls)], "row bigint, url string, accepted boolean").repartition(3)
+    kept = df.where(~url_filter.aside(F.col("url")))
+    assert 0 < kept.count() < 80
+    rows = {r.page_id: r.score for r in url_filter.url_filter(pages(spark, [(i, u, "") for i, (u, _) in enumerate(urls)])).collect()}
+    own = url_filter.with_scores(df, url_filter.log_ratios(kept.select("url", "accepted"))).collect()
+    assert sorted(rows.values()) == sorted(r.score for r in own)
+
+
+def test_long_urls_cost_in_proportion(spark):
+    """Four times the length takes no more than about four times the time."""
+    import time
+
+    ratios = url_filter.log_ratios(spark.createDataFrame([("http://a.com/", True), ("http://b.com/", False)], "url string, accepted boolean")).cache()
+    ratios.count()
+
+    def seconds(n):
+        one = spark.createDataFrame([(1, "http://x.com/" + "ab-9" * (n // 4))], "row bigint, url string")
+        began = time.perf_counter()
+        assert url_filter.with_scores(one, ratios).first().score is not None
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(320_000) < 6 * seconds(80_000) + 2
 
 
 def test_url_filter_is_native(spark):

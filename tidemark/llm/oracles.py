@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.llm import url_filter
 from tidemark.llm.quality_rules import PERCENTS, PRIOR, RULES
 
 _SPACE = r"[^\x20\x09-\x0D]+"
@@ -118,10 +119,58 @@ SELECT doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAS
 FROM (SELECT doc_id, hex(t) AS x, n FROM b) LEFT JOIN cut USING (doc_id)"""
 
 
+def _url_filter() -> str:
+    """Counts of characters after two, one and no others, per class; probabilities from the shorter context to the longer."""
+    n, scale, step = url_filter.SYMBOLS, url_filter.SCALE, url_filter.STEP
+    longest = sorted(url_filter.RULES, key=lambda r: -len(r.name))
+    rule = "CASE " + " ".join(f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.name}'" for r in longest) + " END"
+    allowed = "rule IN (" + ", ".join(f"'{r.name}'" for r in longest if r.verdict == "allow") + ")"
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def model(k: str) -> str:
+        p0 = f"(coalesce({k}0.n, 0) + 1.0::DOUBLE) / ((SELECT coalesce(sum({k}), 0) FROM counts) + {n})"
+        p1 = f"CASE WHEN {k}1.n > 0 THEN (coalesce({k}1c.n, 0) + {k}1.t * {p0}) / ({k}1.n + {k}1.t) ELSE {p0} END"
+        return f"CASE WHEN {k}2.n > 0 THEN (coalesce(counts.{k}, 0) + {k}2.t * {p1}) / ({k}2.n + {k}2.t) ELSE {p1} END"
+
+    def tables(k: str) -> str:
+        return f"""{k}2 AS (SELECT a, b, sum({k}) AS n, count(*) AS t FROM counts WHERE {k} > 0 GROUP BY a, b),
+{k}1c AS (SELECT b, c, sum({k}) AS n FROM counts WHERE {k} > 0 GROUP BY b, c),
+{k}1 AS (SELECT b, sum(n) AS n, count(*) AS t FROM {k}1c GROUP BY b),
+{k}0 AS (SELECT c, sum({k}) AS n FROM counts GROUP BY c)"""
+
+    joins = " ".join(f"LEFT JOIN {k}2 USING (a, b) LEFT JOIN {k}1c USING (b, c) LEFT JOIN {k}1 USING (b) LEFT JOIN {k}0 USING (c)" for k in ("yes", "no"))
+    return f"""WITH parts AS (
+  SELECT row_number() OVER () AS r, page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (
+  SELECT *, {rule} AS rule FROM (
+    SELECT r, page_id, url, coalesce({lower.format("regexp_extract(rest, '^([^/?#]*)', 1)")}, '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM parts)),
+j AS (SELECT *, CASE WHEN rule IS NOT NULL THEN {allowed} END AS accepted, substr(md5(url), 1, 1) IN ({", ".join(f"'{x}'" for x in url_filter.ASIDE)}) AS aside FROM u),
+chars AS (
+  SELECT r, i, CASE instr('{url_filter.ALPHABET}', ch) WHEN 0 THEN {n - 1} ELSE instr('{url_filter.ALPHABET}', ch) END AS c
+  FROM (SELECT r, i, substr({lower.format("url")}, i, 1) AS ch FROM (SELECT r, url, unnest(range(1, length(url) + 1)) AS i FROM u))),
+tri AS (SELECT r, coalesce(lag(c, 2) OVER o, 0) AS a, coalesce(lag(c) OVER o, 0) AS b, c FROM chars WINDOW o AS (PARTITION BY r ORDER BY i)),
+counts AS (SELECT a, b, c, count(*) FILTER (accepted) AS yes, count(*) FILTER (NOT accepted) AS no FROM tri JOIN j USING (r) WHERE accepted IS NOT NULL AND NOT aside GROUP BY a, b, c),
+{tables("yes")},
+{tables("no")},
+ratios AS (
+  SELECT a, b, c, CASE WHEN (SELECT coalesce(sum(yes), 0) > 0 AND coalesce(sum(no), 0) > 0 FROM counts) THEN CAST(round(ln(({model("yes")}) / ({model("no")})) * {scale}) AS BIGINT) ELSE 0 END AS ratio
+  FROM (SELECT DISTINCT a, b, c FROM tri) LEFT JOIN counts USING (a, b, c) {joins}),
+scored AS (
+  SELECT j.*, CAST(coalesce(floor(total / length(url)), 0) AS BIGINT) AS score
+  FROM j LEFT JOIN (SELECT r, sum(ratio) AS total FROM tri JOIN ratios USING (a, b, c) GROUP BY r) USING (r)),
+steps AS (SELECT CAST(floor(score / {step}) AS BIGINT) AS low, count(*) FILTER (accepted) AS yes, count(*) FILTER (NOT accepted) AS no FROM scored WHERE accepted IS NOT NULL AND aside GROUP BY 1),
+cut AS (
+  SELECT low, (SELECT sum(yes) FROM steps) AS y, (SELECT sum(no) FROM steps) AS n,
+         coalesce(sum(no) OVER (ORDER BY low ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no_below, coalesce(sum(yes) OVER (ORDER BY low ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS yes_below FROM steps),
+best AS (SELECT low FROM cut WHERE y > 0 AND n > 0 ORDER BY no_below * y - yes_below * n DESC, low LIMIT 1)
+SELECT page_id, host, path, rule, CASE WHEN coalesce(accepted, score >= coalesce((SELECT low FROM best), 0) * {step}) THEN 'allow' ELSE 'block' END AS verdict, score FROM scored"""
+
+
 SQL: dict[str, str] = {
     "op1_quality_rules": _quality_rules(),
     "op3_ngram_jaccard_join": _jaccard_join(),
     "op4_warc": _warc(),
     "op5_embedding_dedup": _embeddings(),
     "op7_suffix_dedup": _suffix_dedup(),
+    "op9_url_filter": _url_filter(),
 }
