@@ -5,12 +5,13 @@ from datetime import datetime, timedelta
 
 import numpy as np
 
-from tidemark.config import InsightsConfig
 from tidemark.operators import insights
-from tidemark.schemas import ROLLUP
+from tidemark.schemas import INSIGHT, ROLLUP
+from tidemark.settings import Detection
 from tidemark.streaming import detectors
 
-CONFIG = InsightsConfig(zscore_threshold=2.5, cooldown_seconds=0)
+# The scenarios that detectors must judge in these ways.
+CONFIG = Detection(z_warning=2.5, cooldown_seconds=0)
 START = datetime(2026, 9, 4, 12)
 STEADY = {("us-east", "purchase"): (100, 320.0), ("eu-central", "purchase"): (80, 276.0), ("us-east", "view"): (400, 0.0)}
 
@@ -48,7 +49,7 @@ def test_cooldown(spark):
 
 def test_trend(spark):
     r = rollup(spark, [with_revenue(320.0 + 48 * i) for i in range(10)])
-    assert ("trend_up", "us-east", 9) in kinds(insights.trends(r, replace(CONFIG, trend_sensitivity=0.1)))
+    assert ("trend_up", "us-east", 9) in kinds(insights.trends(r, replace(CONFIG, trend_share=0.1)))
 
 
 def test_refund_rate(spark):
@@ -65,12 +66,50 @@ def test_top_mover_and_broken_chain(spark):
     assert kinds(insights.top_movers(r, CONFIG)) == [("top_mover", "us-east", 3)]
 
 
-def test_against_plain_python(spark):
-    rng = np.random.default_rng(3)
-    values = rng.lognormal(5, 0.6, 60).round(2)
-    windows = [{("us-east", "purchase"): (1, float(v))} for v in values]
-    state, expected = {"history": [], "fired": {}}, []
+def plain_kinds(values):
+    """Spikes, drops and trends of one region's values, by the definitions."""
+    out = []
     for i, v in enumerate(values):
-        expected += [(k, "us-east", i) for k, *_ in detectors.step(float(v), 60.0 * i, state, CONFIG)]
-    r = rollup(spark, windows)
-    assert kinds(insights.anomalies(r, CONFIG).unionByName(insights.trends(r, CONFIG))) == sorted(expected)
+        past = values[max(0, i - CONFIG.baseline_windows) : i]
+        if len(past) >= CONFIG.baseline_least:
+            z = (v - np.mean(past)) / max(np.std(past), 0.01 * abs(np.mean(past)), 1e-6)
+            if abs(z) >= CONFIG.z_warning:
+                out.append(("anomaly_spike" if z > 0 else "anomaly_drop", "us-east", i))
+        frame = values[max(0, i + 1 - CONFIG.baseline_windows) : i + 1]
+        if len(frame) >= CONFIG.trend_least:
+            rise = np.polyfit(np.arange(len(frame)), frame, 1)[0] * len(frame) / abs(np.mean(frame))
+            if abs(rise) >= CONFIG.trend_share:
+                out.append(("trend_up" if rise > 0 else "trend_down", "us-east", i))
+    return sorted(out)
+
+
+def test_against_plain_python(spark):
+    values = np.random.default_rng(3).lognormal(5, 0.6, 60).round(2)
+    r = rollup(spark, [{("us-east", "purchase"): (1, float(v))} for v in values])
+    assert kinds(insights.anomalies(r, CONFIG).unionByName(insights.trends(r, CONFIG))) == plain_kinds(values)
+
+
+def test_cooldown_is_greedy_and_may_be_strict(spark):
+    minutes = [0, 1, 2, 3, 5, 6, 20, 21, 22, 40]
+    rows = [(START + timedelta(minutes=m), "trend_up", "info", "latam", "revenue", 1.0, 1.0, "m") for m in minutes]
+    df = spark.createDataFrame(rows, INSIGHT)
+    got = lambda strict: [k[2] for k in kinds(insights.cooldown(df, 120, strict))]
+    assert got(False) == [0, 2, 5, 20, 22, 40]
+    assert got(True) == [0, 3, 6, 20, 40]
+
+
+def test_new_windows_are_judged_as_all_are(spark):
+    """Batch by batch with a bounded history gives what the whole series gives, cooldown included."""
+    rng = np.random.default_rng(6)
+    region = lambda: {("us-east", "purchase"): (30, float(rng.lognormal(5, 0.5))), ("us-east", "refund"): (int(rng.integers(0, 4)), 0.0)}
+    windows = [region() | ({("latam", "purchase"): (5, float(rng.lognormal(4, 0.9)))} if i % 4 else {}) for i in range(70)]
+    settings = replace(CONFIG, cooldown_seconds=180)
+    every = rollup(spark, windows).cache()
+    emitted = spark.createDataFrame([], INSIGHT)
+    for low, high in ((0, 3), (3, 30), (30, 31), (31, 70)):
+        first = START + timedelta(minutes=low)
+        seen = every.where(every.window_start < START + timedelta(minutes=high))
+        assert detectors.with_history(seen, first, settings).where(every.window_start < first).select("window_start", "region").distinct().count() <= 2 * 22
+        emitted = emitted.unionByName(detectors.detect_new(seen, emitted, first, settings).checkpoint())
+    expected = kinds(insights.detect(every, settings))
+    assert kinds(emitted) == expected and len({k[0] for k in expected}) >= 4

@@ -18,3 +18,13 @@ GRAINS = ("minute", "hour", "day")
 #: Dimensions a raw aggregate may group by, and those that the rollups keep.
 GROUPABLE = ("region", "event_type", "device", "hour")
 ROLLUP_DIMENSIONS = ("region", "event_type")
+
+# Defaults of detection, serving and streaming.
+Z_WARNING, Z_CRITICAL = 3.0, 5.0
+BASELINE_WINDOWS, BASELINE_LEAST = 20, 5
+TREND_LEAST, TREND_SHARE = 8, 0.15
+REFUND_RATE, REFUND_PURCHASES = 0.05, 20
+MOVER_SHARE = 0.05
+COOLDOWN_SECONDS = 30
+HOT_MINUTES, CACHE_SECONDS, CACHE_ENTRIES = 60, 15, 256
+WATERMARK_SECONDS, TRIGGER_MS = 30, 200

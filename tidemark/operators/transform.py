@@ -29,9 +29,12 @@ def transform(raw: DataFrame) -> DataFrame:
     return enrich(raw.where(E.drop_reason().isNull()))
 
 
-def observed_transform(raw: DataFrame, name: str = "drops") -> tuple[DataFrame, Observation]:
-    """As ``transform``, counting rows and drops by reason on the way, without a pass of its own."""
-    seen = Observation(name)
+def observed_transform(raw: DataFrame, name: str = "drops") -> tuple[DataFrame, Observation | str]:
+    """As ``transform``, counting rows and drops by reason on the way, without a pass of its own.
+
+    Of a stream, the counts of each micro-batch are in its progress under the name, for ``metrics.ProgressLog``.
+    """
+    seen = name if raw.isStreaming else Observation(name)
     counts = [F.count(F.lit(1)).alias("events_in"), *(F.count_if(F.coalesce(F.col("reason") == r, F.lit(False))).alias(r) for r in DROP_REASONS)]
     marked = classify(raw).observe(seen, *counts)
     return enrich(marked.where("reason is null")), seen

@@ -6,24 +6,26 @@ operators in plain SQL over the tables, not from the Spark code.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.config import InsightsConfig
 from tidemark.constants import AMOUNT_BANDS, DEVICES, EVENT_TYPES, REGION_FX, REGIONS, TYPE_MARGIN
 from tidemark.operators import aggregates, hot, insights, metrics, rollups, transform
 from tidemark.plans import batch
+from tidemark.schemas import ROLLUP
+from tidemark.session import scratch
+from tidemark.settings import Detection
 from tidemark.sources import fixtures, generator
+from tidemark.sources.store import Store
 
 START, END = datetime(2024, 1, 8), datetime(2024, 1, 9)
 ODD_START, ODD_END = datetime(2024, 1, 8, 3, 17, 30), datetime(2024, 1, 19, 21, 42, 5)
 USER = "u00007"
-DETECT = InsightsConfig(zscore_threshold=2.0)
+DETECT = Detection(z_warning=2.0)
+COOLED = Detection(z_warning=2.0, cooldown_seconds=3 * 86_400)
 
 
 def _time(c: str) -> Column:
@@ -78,7 +80,7 @@ def _insert_ignore(s: SparkSession, d: str) -> DataFrame:
     return transform.dedupe(e, there).groupBy("event_type").agg(F.count("*").alias("events"))
 
 
-def _detector(find: Callable[[DataFrame, InsightsConfig], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+def _detector(find: Callable[[DataFrame, Detection], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda s, d: _told(find(_days(s, d), DETECT).drop("message"))
 
 
@@ -100,34 +102,147 @@ def _latency(s: SparkSession, d: str) -> DataFrame:
     return metrics.latency_percentiles(fixtures.table(s, d, "events"), "value")
 
 
-def _stream_rollup(s: SparkSession, d: str) -> DataFrame:
-    """The minute rollup of a stream over the time-ordered events, in three micro-batches of an available-now query."""
-    from tidemark.streaming import jobs
-
-    place = (s.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()).rstrip("/")
-    folder = f"{place}/tidemark-stream-{uuid.uuid4().hex}"
+def _raw_files(s: SparkSession, d: str, folder: str) -> None:
+    """The events in three files in order of time, the older first."""
     raw = fixtures.raw_events(s, d).drop("eid").withColumn("ts", F.col("ts").cast("timestamp"))
-    day = F.dayofmonth("ts")
-    for i, (low, high) in enumerate(((1, 10), (11, 20), (21, 31))):
-        raw.where(day.between(low, high)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    for low, high in ((1, 10), (11, 20), (21, 31)):
+        raw.where(F.dayofmonth("ts").between(low, high)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+
+
+def _streamed(s: SparkSession, d: str, width: str, watermark: str | None, mode: str) -> DataFrame:
+    """The rollup of a stream over the events in three micro-batches of an available-now query; later totals stand for earlier ones."""
     from tidemark.sources.readers import parquet_stream
+    from tidemark.streaming import jobs
 
-    out = f"{folder}/out"
+    folder = scratch(s, "tidemark-stream")
+    _raw_files(s, d, folder)
 
     def sink(batch_df: DataFrame, batch_id: int) -> None:
-        batch_df.write.mode("overwrite").parquet(f"{out}/batch={batch_id:05d}")
+        batch_df.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id:05d}")
 
-    stream = jobs.windowed(transform.transform(parquet_stream(s, f"{folder}/in", 1)), watermark=None)
-    jobs.start(stream, f"{folder}/checkpoint", sink, once=True).awaitTermination()
-    # Totals of later batches stand for those before, as the replacing sink has it.
-    rows = s.read.parquet(out)
+    stream = jobs.windowed(transform.transform(parquet_stream(s, f"{folder}/in", 1)), width, watermark)
+    jobs.start(stream, f"{folder}/checkpoint", sink, mode=mode, once=True).awaitTermination()
+    rows = s.read.parquet(f"{folder}/out")
+    if mode == "append":  # each window once
+        return _told(rows.select(*rollups.KEYS, "events", "revenue"))
     last = rows.groupBy(*rollups.KEYS).agg(F.max("batch").alias("batch"))
     return _told(rows.join(last, [*rollups.KEYS, "batch"]).select(*rollups.KEYS, "events", "revenue"))
 
 
+def _stored(s: SparkSession, d: str) -> Store:
+    store = Store(s, scratch(s, "tidemark-store"))
+    store.insert_events(_events(s, d).withColumn("ts", F.col("ts").cast("timestamp")))
+    return store
+
+
+def _batch_rebuild(s: SparkSession, d: str) -> DataFrame:
+    """A summary that is stale for some hours inside a day, rebuilt for these; all others stay."""
+    store = _stored(s, d)
+    hours = rollups.rollup(store.read("events"), "hour")
+    first, last = datetime(2024, 1, 8, 3), datetime(2024, 1, 9, 5)
+    stale = (F.col("window_start") >= F.lit(first)) & (F.col("window_start") < F.lit(last))
+    store._write(hours.withColumn("revenue", F.when(stale, F.lit(-1)).otherwise(F.col("revenue"))), "summary_hourly", "overwrite")
+    batch.rebuild(store, first + timedelta(minutes=12), last - timedelta(minutes=5))
+    return _told(store.read("summary_hourly").drop("date"))
+
+
+def _rebuild_rollups(s: SparkSession, d: str) -> DataFrame:
+    store = _stored(s, d)
+    store.rebuild_rollups()
+    return _told(store.read("region_daily").drop("date"))
+
+
+def _thirds(events: DataFrame) -> list[DataFrame]:
+    return [events.where(F.dayofmonth("ts").between(low, high)) for low, high in ((1, 10), (11, 20), (21, 31))]
+
+
+def _store_deltas(s: SparkSession, d: str) -> DataFrame:
+    """Events in three batches, one of them twice and one overlapping; a rebuild after the first. The rollup of base and deltas."""
+    from tidemark.streaming import jobs
+
+    events = _events(s, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    store = Store(s, scratch(s, "tidemark-deltas"))
+    write = jobs.events_sink(store)
+    for i, part in enumerate(_thirds(events)):
+        write(part, i)
+        write(part, i)
+        if not i:
+            store.rebuild_rollups()
+    write(events.where(F.dayofmonth("ts") > 15), 3)
+    return _told(store.current("hour"))
+
+
+def _hot_table(s: SparkSession, d: str) -> DataFrame:
+    """The hot table after three batches of deltas, the last third first, and a batch of totals."""
+    minutes = rollups.rollup(_events(s, d).withColumn("ts", F.col("ts").cast("timestamp")), "minute")
+    table = hot.HotTable()
+    for part in _thirds(minutes.withColumnRenamed("window_start", "ts"))[::-1]:
+        table.feed(part.withColumnRenamed("ts", "window_start"), delta=True)
+    table.feed(minutes.where("event_type = 'view'"))
+    return s.createDataFrame([(r["dim"], r["events"], r["revenue"]) for r in table.aggregate(30)], f"dim string, events bigint, revenue {rollups.REVENUE}")
+
+
+def _route(s: SparkSession, d: str) -> DataFrame:
+    """Each kind of request through the planner, with the backend that answered."""
+    from tidemark.plans.router import QuerySpec, Router, Tables
+
+    e = _events(s, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    router = Router(Tables(e, hot.HotTable().feed(rollups.rollup(e, "minute")), rollups.rollup(e, "hour")))
+    day = {"start": START, "end": END}
+    specs = {
+        "point": QuerySpec("point", user_id=USER), "recent": QuerySpec("recent_agg", minutes=30), "recent_long": QuerySpec("recent_agg", minutes=500, **day),
+        "heavy": QuerySpec("heavy_agg", **day), "repeat": QuerySpec("heavy_agg", **day), "heavy_device": QuerySpec("heavy_agg", group_by="device", **day), "filtered": QuerySpec("heavy_agg", group_by="event_type", region="latam", **day),
+    }
+    rows = []
+    for name, spec in specs.items():
+        found = router.route(spec)
+        if name == "point":
+            rows.append((name, found.backend, spec.user_id, len(found.rows), sum(r["revenue"] for r in found.rows)))
+        else:
+            rows += [(name, found.backend, r["dim"], r["events"], r["revenue"]) for r in found.rows]
+    return s.createDataFrame(rows, f"request string, backend string, dim string, events bigint, revenue {rollups.REVENUE}")
+
+
+def _detected(settings: Detection, message: bool, cool: bool) -> Callable[[SparkSession, str], DataFrame]:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        found = insights.detect(_days(s, d), settings, cool)
+        return _told(found if message else found.drop("message"))
+
+    return run
+
+
+def _insight_store(s: SparkSession, d: str) -> Store:
+    """Closed days in three micro-batches of a stream, one file each, through the sink that detects."""
+    from tidemark.streaming import detectors, jobs
+
+    folder = scratch(s, "tidemark-insights")
+    days = _days(s, d).withColumn("window_start", F.col("window_start").cast("timestamp")).withColumnRenamed("window_start", "ts")
+    for part in _thirds(days):
+        part.withColumnRenamed("ts", "window_start").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    store = Store(s, f"{folder}/store")
+    stream = s.readStream.schema(ROLLUP).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    sink = detectors.detect_sink(store, COOLED, lookback=timedelta(days=40))
+    jobs.start(stream, f"{folder}/checkpoint", sink, mode="append", once=True).awaitTermination()
+    return store
+
+
+def _stream_insights(s: SparkSession, d: str) -> DataFrame:
+    return _told(_insight_store(s, d).read("insights").drop("date", "message"))
+
+
+def _latest_insights(s: SparkSession, d: str) -> DataFrame:
+    return _told(aggregates.latest_insights(_insight_store(s, d).read("insights"), 7).drop("date", "message"))
+
+
 def _generated(s: SparkSession, d: str) -> DataFrame:
-    """Counts by type of generated events; the generator makes valid ones only."""
-    return transform.transform(generator.bulk(s, 20_000)).groupBy("event_type").agg(F.count("*").alias("events"))
+    """What holds of generated events whatever the seed: as many as asked for in any partitioning, all valid, within their time, with amounts where money moves."""
+    one, other = (transform.transform(generator.bulk(s, 20_000, seed=5, partitions=n, ordered=False)) for n in (3, 8))
+    both = one.select("event_id", "ts", "amount").exceptAll(other.select("event_id", "ts", "amount"))
+    money = F.col("event_type").isin("purchase", "refund")
+    return one.agg(
+        F.count("*").alias("events"), F.count_distinct("event_id").alias("ids"), F.count_if(F.col("amount").isNotNull() != money).alias("odd_amounts"),
+        F.count_if(~F.date_format("ts", "yyyy-MM-dd").eqNullSafe(F.lit("2024-01-01"))).alias("other_days"), F.count_distinct("region", "device", "event_type").alias("kinds"),
+    ).withColumn("unlike", both.agg(F.count("*")).scalar())
 
 
 def _range_rows(s: SparkSession, d: str) -> DataFrame:
@@ -172,7 +287,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "latency_percentiles": _latency,
     "range_rows": _range_rows,
     "batch_half_open": lambda s, d: _told(batch.summarize(_events(s, d), START, END)),
-    "stream_rollup_minute": _stream_rollup,
+    "stream_rollup_minute": lambda s, d: _streamed(s, d, "1 minute", None, "update"),
+    "stream_rollup_hour": lambda s, d: _streamed(s, d, "1 hour", "30 seconds", "update"),
+    "stream_closed_minutes": lambda s, d: _streamed(s, d, "1 minute", "30 seconds", "append"),
+    "stream_insights": _stream_insights,
+    "latest_insights": _latest_insights,
+    "detect_messages": _detected(DETECT, True, False),
+    "detect_cooled": _detected(COOLED, False, True),
+    "batch_rebuild": _batch_rebuild,
+    "rebuild_rollups": _rebuild_rollups,
+    "store_deltas": _store_deltas,
+    "hot_table": _hot_table,
+    "route_kinds": _route,
     "generated_events": _generated,
 }
 
@@ -231,9 +357,10 @@ def _oracles() -> dict[str, str]:
   SELECT w, region, v, n, CASE WHEN mean = 0 THEN 1 ELSE mean END AS mean, slope FROM (
     SELECT w, region, v, count(*) OVER f AS n, avg(v) OVER f AS mean, regr_slope(v, i) OVER f AS slope
     FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY w) AS i FROM v) WINDOW f AS (PARTITION BY region ORDER BY w ROWS BETWEEN {c.baseline_windows - 1} PRECEDING AND CURRENT ROW))
-  WHERE n >= {c.trend_min_points}),
-tr AS (SELECT w, CASE WHEN slope > 0 THEN 'trend_up' ELSE 'trend_down' END AS kind, 'info' AS severity, region AS entity, 'revenue' AS metric, round(v, 2) AS value, round(mean, 2) AS baseline
-  FROM t WHERE abs(slope * n / abs(mean)) >= {c.trend_sensitivity})"""
+  WHERE n >= {c.trend_least}),
+tr AS (SELECT w, CASE WHEN slope > 0 THEN 'trend_up' ELSE 'trend_down' END AS kind, 'info' AS severity, region AS entity, 'revenue' AS metric, round(v, 2) AS value, round(mean, 2) AS baseline,
+  printf('revenue of %s is %s: %+.0f%% over %d windows', region, CASE WHEN slope > 0 THEN 'rising' ELSE 'falling' END, slope * n / abs(mean) * 100, n) AS message
+  FROM t WHERE abs(slope * n / abs(mean)) >= {c.trend_share})"""
     columns = "kind, severity, entity, metric, value, baseline"
     line_raw = f"""raw AS (
   SELECT l_orderkey || '-' || l_linenumber AS event_id, l_shipdate AS ts, printf('u%05d', c_custkey) AS user_id, CASE WHEN l_returnflag = 'R' THEN 'refund' ELSE 'purchase' END AS event_type,
@@ -242,6 +369,40 @@ tr AS (SELECT w, CASE WHEN slope > 0 THEN 'trend_up' ELSE 'trend_down' END AS ki
     lines = f"WITH {line_raw}, {judged('raw')}, {enriched}"
     ranks = ", ".join(f"min(CASE WHEN i = 1 + CAST(round_even({p} / 100.0 * (n - 1), 0) AS BIGINT) THEN value END) AS p{p}" for p in metrics.PERCENTILES)
     counts = " UNION ALL ".join(f"SELECT '{name}' AS table_name, count(*) AS n FROM ({body})" for name, body in (("events", "SELECT * FROM e"), ("aggregates_1m", rolled("minute")), ("summary_hourly", rolled("hour")), ("region_daily", rolled("day"))))
+    anomaly = f"""b AS (
+  SELECT w, region, v, count(*) OVER f AS n, avg(v) OVER f AS mean, stddev_pop(v) OVER f AS std FROM v
+  WINDOW f AS (PARTITION BY region ORDER BY w ROWS BETWEEN {c.baseline_windows} PRECEDING AND 1 PRECEDING)),
+z AS (SELECT *, (v - mean) / greatest(std, 0.01 * abs(mean), 1e-6) AS z FROM b WHERE n >= {c.baseline_least}),
+an AS (SELECT w, CASE WHEN z > 0 THEN 'anomaly_spike' ELSE 'anomaly_drop' END AS kind, CASE WHEN abs(z) >= {c.z_critical} THEN 'critical' ELSE 'warning' END AS severity, region AS entity,
+  'revenue' AS metric, round(v, 2) AS value, round(mean, 2) AS baseline,
+  printf('revenue of %s stands %.1f deviations %s its mean (%.2f, mean %.2f)', region, abs(z), CASE WHEN z > 0 THEN 'above' ELSE 'below' END, v, mean) AS message FROM z WHERE abs(z) >= {c.z_warning})"""
+    threshold = f"""k AS (SELECT date_trunc('day', ts) AS w, count(*) FILTER (event_type = 'purchase') AS p, count(*) FILTER (event_type = 'refund') AS r FROM e GROUP BY 1),
+th AS (SELECT w, 'threshold' AS kind, 'warning' AS severity, 'refund_rate' AS entity, 'refund_rate' AS metric, round(r / p, 4) AS value, CAST({c.refund_rate} AS DOUBLE) AS baseline,
+  printf('%d refunds for %d purchases: %.1f%%, over the limit of %.0f%%', r, p, r / p * 100, {c.refund_rate * 100}) AS message FROM k WHERE p >= {c.refund_purchases} AND r / p > {c.refund_rate})"""
+    mover = f"""tot AS (SELECT w, sum(v) AS total, row_number() OVER (ORDER BY w) AS i FROM v GROUP BY w),
+s AS (SELECT i, v.w, region, v / total AS share FROM v JOIN tot USING (w) WHERE total > 0),
+pairs AS (SELECT s.*, coalesce(p.share, 0) AS was FROM s JOIN tot q ON q.i = s.i - 1 AND q.total > 0 LEFT JOIN s p ON p.i = s.i - 1 AND p.region = s.region),
+first AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY list_position({pick(REGIONS)}, region)) AS r FROM pairs WHERE abs(share - was) >= {c.mover_share}),
+mv AS (SELECT w, 'top_mover' AS kind, 'info' AS severity, region AS entity, 'revenue_share' AS metric, round(share, 4) AS value, round(was, 4) AS baseline,
+  printf('%s %s revenue share: %.1f%% after %.1f%%', region, CASE WHEN share > was THEN 'gained' ELSE 'lost' END, share * 100, was * 100) AS message FROM first WHERE r = 1)"""
+    detected = f"{anomaly}, {trend}, {threshold}, {mover}, found AS (SELECT * FROM an UNION ALL SELECT * FROM tr UNION ALL SELECT * FROM th UNION ALL SELECT * FROM mv)"
+    daily = "v AS (SELECT date_trunc('day', ts) AS w, region, CAST(sum(revenue) AS DOUBLE) AS v FROM e GROUP BY ALL)"
+    cooled = f"""WITH RECURSIVE {raw}, {judged("raw")}, {enriched}, {daily}, {detected},
+keyed AS (
+  SELECT *, CASE WHEN kind LIKE 'anomaly%' THEN 'anomaly' WHEN kind LIKE 'trend%' THEN 'trend' ELSE kind END || metric || CASE WHEN kind = 'top_mover' THEN '' ELSE entity END AS key FROM found),
+kept AS (
+  SELECT key, min(w) AS w FROM keyed GROUP BY key
+  UNION ALL
+  SELECT key, w FROM (SELECT f.key, f.w, row_number() OVER (PARTITION BY f.key ORDER BY f.w) AS r FROM keyed f JOIN kept k ON k.key = f.key AND f.w >= k.w + INTERVAL 3 DAY) WHERE r = 1)
+SELECT {out}, {columns} FROM (SELECT DISTINCT key, w FROM kept) JOIN keyed USING (key, w)"""
+    routed = lambda name, backend, dim, where: f"SELECT '{name}' AS request, '{backend}' AS backend, {dim} AS dim, {sums} FROM e WHERE {where} GROUP BY {dim}"
+    exact = closed(START, END)
+    routes = " UNION ALL ".join((
+        f"SELECT 'point' AS request, 'store.indexed' AS backend, '{USER}' AS dim, count(*) AS events, CAST(sum(revenue) AS DECIMAL(24,4)) AS revenue FROM (SELECT revenue FROM e WHERE user_id = '{USER}' ORDER BY e.ts DESC, event_id DESC LIMIT 50)",
+        "SELECT 'recent', 'memory.hot_layer', region, CAST(sum(events) AS BIGINT), CAST(sum(revenue) AS DECIMAL(24,4)) FROM last WHERE r <= 30 GROUP BY region",
+        routed("recent_long", "store.summary", "region", hours), routed("heavy", "store.summary", "region", hours), routed("repeat", "cache", "region", hours),
+        routed("heavy_device", "store.raw_scan", "device", exact), routed("filtered", "store.summary", "event_type", hours + " AND region = 'latam'"),
+    ))
     return {
         "summary_agg_region": grouped("region", hours),
         "summary_agg_event_type": grouped("event_type", hours),
@@ -270,21 +431,10 @@ top AS (SELECT region, CAST(sum(revenue) AS DECIMAL(24,4)) AS revenue FROM s GRO
 SELECT count(*) AS events, (SELECT region FROM top) AS top_region, (SELECT revenue FROM top) AS top_revenue, count(*) FILTER (event_type = 'purchase') AS purchases, count(*) FILTER (event_type = 'refund') AS refunds,
   round(count(*) FILTER (event_type = 'refund') / nullif(count(*) FILTER (event_type = 'purchase'), 0), 6) AS refund_rate FROM s""",
         "fx_broadcast_join": f"{clean} SELECT region AS dim, CAST(sum(revenue) AS DECIMAL(24,4)) AS revenue FROM e GROUP BY region",
-        "insight_anomaly": f"""{regions}, b AS (
-  SELECT w, region, v, count(*) OVER f AS n, avg(v) OVER f AS mean, stddev_pop(v) OVER f AS std FROM v
-  WINDOW f AS (PARTITION BY region ORDER BY w ROWS BETWEEN {c.baseline_windows} PRECEDING AND 1 PRECEDING)),
-z AS (SELECT *, (v - mean) / greatest(std, 0.01 * abs(mean), 1e-6) AS z FROM b WHERE n >= {c.min_baseline})
-SELECT {out}, CASE WHEN z > 0 THEN 'anomaly_spike' ELSE 'anomaly_drop' END AS kind, CASE WHEN abs(z) >= {c.critical_zscore} THEN 'critical' ELSE 'warning' END AS severity, region AS entity,
-  'revenue' AS metric, round(v, 2) AS value, round(mean, 2) AS baseline FROM z WHERE abs(z) >= {c.zscore_threshold}""",
+        "insight_anomaly": f"{regions}, {anomaly} SELECT {out}, {columns} FROM an",
         "insight_trend": f"{regions}, {trend} SELECT {out}, {columns} FROM tr",
-        "insight_threshold": f"""{clean}, k AS (SELECT date_trunc('day', ts) AS w, count(*) FILTER (event_type = 'purchase') AS p, count(*) FILTER (event_type = 'refund') AS r FROM e GROUP BY 1)
-SELECT {out}, 'threshold' AS kind, 'warning' AS severity, 'refund_rate' AS entity, 'refund_rate' AS metric, round(r / p, 4) AS value, CAST({c.refund_rate_threshold} AS DOUBLE) AS baseline
-FROM k WHERE p >= {c.min_purchases_for_rate} AND r / p > {c.refund_rate_threshold}""",
-        "insight_top_mover": f"""{regions}, tot AS (SELECT w, sum(v) AS total, row_number() OVER (ORDER BY w) AS i FROM v GROUP BY w),
-s AS (SELECT i, v.w, region, v / total AS share FROM v JOIN tot USING (w) WHERE total > 0),
-pairs AS (SELECT s.*, coalesce(p.share, 0) AS was FROM s JOIN tot q ON q.i = s.i - 1 AND q.total > 0 LEFT JOIN s p ON p.i = s.i - 1 AND p.region = s.region),
-first AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY list_position({pick(REGIONS)}, region)) AS r FROM pairs WHERE abs(share - was) >= {c.mover_share})
-SELECT {out}, 'top_mover' AS kind, 'info' AS severity, region AS entity, 'revenue_share' AS metric, round(share, 4) AS value, round(was, 4) AS baseline FROM first WHERE r = 1""",
+        "insight_threshold": f"{clean}, {threshold} SELECT {out}, {columns} FROM th",
+        "insight_top_mover": f"{regions}, {mover} SELECT {out}, {columns} FROM mv",
         "insight_cooldown": f"""WITH RECURSIVE {raw}, {judged("raw")}, {enriched}, v AS (SELECT date_trunc('day', ts) AS w, region, CAST(sum(revenue) AS DOUBLE) AS v FROM e GROUP BY ALL), {trend},
 kept AS (
   SELECT entity, min(w) AS w FROM tr GROUP BY entity
@@ -296,6 +446,18 @@ SELECT max(n) AS n, round(avg(value), 6) AS mean, max(value) AS max, {ranks} FRO
         "range_rows": f"{clean} SELECT * REPLACE (strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts) FROM e WHERE {closed(ODD_START, '2024-01-08 09:00:00')}",
         "batch_half_open": rolled_text("hour", f"ts >= {at(START)} AND ts < {at(END)}"),
         "stream_rollup_minute": rolled_text("minute"),
+        "stream_rollup_hour": rolled_text("hour"),
+        "stream_closed_minutes": rolled_text("minute", "date_trunc('minute', ts) + INTERVAL 1 MINUTE <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 30 SECOND FROM e)"),
+        "detect_messages": f"{regions}, {detected} SELECT {out}, {columns}, message FROM found",
+        "detect_cooled": cooled,
+        "stream_insights": cooled,
+        "latest_insights": f"{cooled} ORDER BY window_start DESC, kind, entity LIMIT 7",
+        "batch_rebuild": rolled_text("hour"),
+        "rebuild_rollups": rolled_text("day"),
+        "store_deltas": rolled_text("hour"),
+        "hot_table": f"{minutes} SELECT region AS dim, CAST(sum(events) AS BIGINT) AS events, CAST(sum(revenue) AS DECIMAL(24,4)) AS revenue FROM last WHERE r <= 30 GROUP BY region",
+        "route_kinds": f"{minutes} {routes}",
+        "generated_events": "SELECT 20000 AS events, 20000 AS ids, 0 AS odd_amounts, 0 AS other_days, 75 AS kinds, 0 AS unlike",
     }
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import logging
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -22,5 +24,16 @@ def session(name: str = "tidemark", streaming: bool = False, partitions: int | N
     return builder.getOrCreate()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder of ``spark.checkpoint.dir``; a temporary one of this machine only where Spark runs on it alone."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        place = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", place)
+    return f"{place.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def setup_logging(level: int = logging.INFO) -> None:
     logging.basicConfig(level=level, format="%(asctime)s %(levelname)-7s %(name)s: %(message)s")

@@ -58,6 +58,11 @@ def paced(spark: SparkSession, eps: int, seed: int = 42, burst_every: int = 15,
     The rate source gives the peak rate, and outside bursts all but one in ``burst_multiplier`` rows are left out.
     """
     rate = spark.readStream.format("rate").option("rowsPerSecond", eps * burst_multiplier).load()
+    return paced_rows(rate, eps, seed, burst_every, burst_duration, burst_multiplier, time_scale, start)
+
+
+def paced_rows(rate: DataFrame, eps: int, seed: int = 42, burst_every: int = 15, burst_duration: int = 5, burst_multiplier: int = 4, time_scale: float = 1.0, start: datetime = START) -> DataFrame:
+    """Events for the rows (timestamp, value) of a source of ``eps * burst_multiplier`` rows a second."""
     second = F.floor(F.col("value") / (eps * burst_multiplier))
     in_burst = (burst_every > 0) & (second % max(burst_every + burst_duration, 1) >= burst_every) if burst_every else F.lit(False)
     kept = rate.where(in_burst | (F.col("value") % burst_multiplier == 0))

@@ -21,6 +21,15 @@ def to_json(events: DataFrame) -> DataFrame:
     return events.select(F.col("user_id").alias("key"), F.to_json(F.struct(*events.columns)).alias("value"))
 
 
+def kafka_writer(events: DataFrame, bootstrap: str, topic: str, checkpoint: str | None = None):
+    """Send events to a topic, keyed by user: a table at once, a stream as a query that is returned. Needs the connector."""
+    rows = to_json(events)
+    if events.isStreaming:
+        writer = rows.writeStream.format("kafka").option("checkpointLocation", checkpoint)
+        return writer.option("kafka.bootstrap.servers", bootstrap).option("topic", topic).start()
+    return rows.write.format("kafka").option("kafka.bootstrap.servers", bootstrap).option("topic", topic).save()
+
+
 def kafka_stream(spark: SparkSession, bootstrap: str, topic: str, per_trigger: int = 50_000, starting: str = "latest") -> DataFrame:
     """Raw events of a topic; needs the Kafka connector on the class path. The rate limit holds back, it loses nothing."""
     reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", bootstrap).option("subscribe", topic)

@@ -1,64 +1,58 @@
-"""The anomaly, trend and cooldown detectors over a stream of closed windows, one state for each region."""
+"""Detectors on a stream of closed windows: the batch expressions over a bounded stretch of history.
+
+Each micro-batch of closed windows is written beside the earlier ones, and the four detectors of ``operators.insights`` run over the
+windows of the batch and as much history as their frames reach back to. Only insights of the batch's own windows are kept, then the
+cooldown is applied behind those emitted before. So there is one definition of each detector, for batch and stream, and all state
+lies in the store: a restart goes on where it stopped, a replayed batch finds its insights there.
+"""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Callable
+from datetime import timedelta
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from tidemark.config import InsightsConfig
+from pyspark.sql.window import Window
 
-OUTPUT = "window_start timestamp, kind string, severity string, entity string, metric string, value double, baseline double"
+from tidemark.operators import insights
+from tidemark.settings import Detection
+from tidemark.sources.store import Store
 
+#: How far back the last rows of a region are looked for.
+LOOKBACK = timedelta(days=2)
 
-def step(value: float, at: float, state: dict, config: InsightsConfig) -> list[tuple]:
-    """Feed one closed window; returns (kind, severity, value, baseline) of what it sets off."""
-    history, fired, out = state["history"], state["fired"], []
 
-    def ready(family: str) -> bool:
-        if family in fired and at - fired[family] < config.cooldown_seconds:
-            return False
-        fired[family] = at
-        return True
+def with_history(windows: DataFrame, first, detection: Detection = Detection()) -> DataFrame:
+    """Rows of ``windows`` from ``first`` on, and before it as many windows of each region as the frames of the detectors reach back."""
+    reach = max(detection.baseline_windows, detection.trend_least) + 1
+    early = windows.where(F.col("window_start") < first)
+    rank = F.dense_rank().over(Window.partitionBy("region").orderBy(F.desc("window_start")))
+    # The last window of all counts for the shares of the next one, whatever regions it has.
+    last = early.agg(F.max("window_start")).scalar()
+    kept = early.withColumn("_rank", rank).where((F.col("_rank") <= reach) | (F.col("window_start") == last)).drop("_rank")
+    return kept.unionByName(windows.where(F.col("window_start") >= first))
 
-    if len(history) >= config.min_baseline:
-        mean, std = float(np.mean(history)), float(np.std(history))
-        z = (value - mean) / max(std, 0.01 * abs(mean), 1e-6)
-        if abs(z) >= config.zscore_threshold and ready("anomaly"):
-            out.append(("anomaly_spike" if z > 0 else "anomaly_drop", "critical" if abs(z) >= config.critical_zscore else "warning", round(value, 2), round(mean, 2)))
-    history.append(value)
-    del history[: -config.baseline_windows]
-    n = len(history)
-    if n >= config.trend_min_points:
-        x = np.arange(n) - (n - 1) / 2
-        mean = float(np.mean(history)) or 1.0
-        norm = float(x @ history / (x @ x)) * n / abs(mean)
-        if abs(norm) >= config.trend_sensitivity and ready("trend"):
-            out.append(("trend_up" if norm > 0 else "trend_down", "info", round(value, 2), round(mean, 2)))
-    return out
 
+def detect_new(windows: DataFrame, emitted: DataFrame, first, detection: Detection = Detection()) -> DataFrame:
+    """Insights of the ``windows`` from ``first`` on that the cooldown lets through behind those ``emitted`` before."""
+    found = insights.detect(with_history(windows, first, detection), detection, cool=False).where(F.col("window_start") >= first)
+    gap = timedelta(seconds=detection.cooldown_seconds)
+    before = emitted.where((F.col("window_start") < first) & (F.col("window_start") >= first - gap)).select(*found.columns)
+    return insights.cooldown(before.unionByName(found), detection.cooldown_seconds, detection.cooldown_strict).where(F.col("window_start") >= first)
 
-def detect_stream(windows: DataFrame, config: InsightsConfig | None = None) -> DataFrame:
-    """Insights of a stream of closed minute windows (append-mode rollups): rows of a region come in order of time.
 
-    A window's types are summed before, so each region has one value a window; state is the last values and times of firing.
-    """
-    config = config or InsightsConfig()
+def detect_sink(store: Store, detection: Detection = Detection(), name: str = "aggregates_1m", lookback: timedelta = LOOKBACK) -> Callable[[DataFrame, int], None]:
+    """A sink for append-mode rollups: windows go to the table ``name`` of the store, what they set off to its insights."""
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {"history": [], "fired": {}}
-        rows = pd.concat(list(frames)).groupby("window_start", sort=True)["revenue"].sum()
-        out = []
-        for at, value in rows.items():
-            for kind, severity, v, baseline in step(float(value), at.timestamp(), held, config):
-                out.append((at, kind, severity, key[0], "revenue", v, baseline))
-        state.update((json.dumps(held),))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
+    def write(batch: DataFrame, batch_id: int) -> None:
+        first = batch.agg(F.min("window_start")).first()[0]
+        if first is None:
+            return
+        store.replace(name, batch)
+        since = F.to_date(F.lit(first - lookback))
+        windows = store.read(name).where(F.col("date") >= since).drop("date")
+        emitted = store.read("insights").where(F.col("date") >= since)
+        store.insert_insights(detect_new(windows, emitted, first, detection).checkpoint())
 
-    flat = windows.select("window_start", "region", F.col("revenue").cast("double").alias("revenue"))
-    return flat.groupBy("region").applyInPandasWithState(run, OUTPUT, "held string", "append", GroupStateTimeout.NoTimeout)
+    return write

@@ -7,16 +7,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tidemark.operators import transform
-from tidemark.operators.metrics import Metrics
+from tidemark.operators.hot import HotTable
 from tidemark.operators.rollups import REVENUE
+from tidemark.settings import Stream, load
 from tidemark.sources import readers
 from tidemark.sources.store import Store
 
-WATERMARK = "30 seconds"
-TRIGGER = "200 milliseconds"
+WATERMARK = f"{Stream().watermark_seconds} seconds"
+TRIGGER = f"{Stream().trigger_ms} milliseconds"
 
 
 def windowed(events: DataFrame, width: str = "1 minute", watermark: str | None = WATERMARK) -> DataFrame:
@@ -38,25 +39,35 @@ def replace_sink(store: Store, name: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def events_sink(store: Store) -> Callable[[DataFrame, int], None]:
-    """All tables of a batch in one place: events once each, then the rollups of the days they touch, from the events.
+def events_sink(store: Store, hot: HotTable | None = None, latencies: list[dict] | None = None) -> Callable[[DataFrame, int], None]:
+    """All tables of a batch in one place: events once each, the delta they make, the hot table, and how long they took to be visible.
 
-    The rollups are recomputed for those days, so a replay after a failure between the writes leaves them right.
+    A batch costs what its own rows cost: the delta is of these alone, and ``Store.current`` adds it to the rollups.
     """
-    from tidemark.operators import rollups
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        store.insert_events(batch)
-        days = batch.select(F.to_date("ts").alias("date")).distinct()
-        touched = store.read("events").join(days, "date", "left_semi")
-        store._write(rollups.rollup(touched, "minute"), "aggregates_1m", "overwrite")
-        store._write(rollups.rollup(touched, "hour"), "summary_hourly", "overwrite")
+        delta = store.insert_batch(batch, batch_id)
+        if hot is not None:
+            hot.feed(delta, delta=True)
+        if latencies is not None and "created_ns" in batch.columns:
+            from tidemark.operators.metrics import latency_percentiles
+
+            latencies.append(latency_percentiles(with_latency(batch), "latency_ms").first().asDict())
+
+    return write
+
+
+def hot_sink(hot: HotTable) -> Callable[[DataFrame, int], None]:
+    """Update-mode rollups into the hot table: totals, so a replayed batch changes nothing."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        hot.feed(batch)
 
     return write
 
 
 def with_latency(batch: DataFrame) -> DataFrame:
-    """Milliseconds from an event's creation to now."""
+    """Milliseconds from an event's creation to now, when its batch is visible."""
     return batch.withColumn("latency_ms", (F.unix_micros(F.current_timestamp()) * 1000 - F.col("created_ns")) / 1e6)
 
 
@@ -75,32 +86,8 @@ def stop(query: StreamingQuery, drain: bool = True) -> None:
     query.stop()
 
 
-class ProgressListener(StreamingQueryListener):
-    """Keeps throughput and batch times of running queries."""
-
-    def __init__(self, metrics: Metrics):
-        self.metrics = metrics
-
-    def onQueryStarted(self, event) -> None:
-        self.metrics.incr("queries_started")
-
-    def onQueryProgress(self, event) -> None:
-        p = event.progress
-        self.metrics.incr("events_in", int(p.numInputRows))
-        self.metrics.observe("rows_per_second", float(p.processedRowsPerSecond or 0.0))
-        self.metrics.observe("batch_ms", float(p.batchDuration or 0))
-        for seen in (p.observedMetrics or {}).values():
-            for k, v in seen.asDict().items():
-                self.metrics.incr(f"dropped.{k}" if k != "events_in" else "events_observed", int(v or 0))
-
-    def onQueryIdle(self, event) -> None:
-        pass
-
-    def onQueryTerminated(self, event) -> None:
-        self.metrics.incr("queries_ended")
-
-
 def main(args: list[str] | None = None) -> None:
+    settings = load()
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("--source", choices=("kafka", "file"), default="file")
     p.add_argument("--bootstrap", default="localhost:9092")
@@ -108,15 +95,20 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--input-dir", default="data/incoming")
     p.add_argument("--checkpoint", default="data/checkpoints/rollup")
     p.add_argument("--sink", choices=("store", "console"), default="console")
-    p.add_argument("--warehouse", default="data/tidemark")
-    p.add_argument("--trigger", default=TRIGGER)
+    p.add_argument("--warehouse", default=settings.storage.warehouse)
+    p.add_argument("--trigger", default=f"{settings.stream.trigger_ms} milliseconds")
+    p.add_argument("--once", action="store_true", help="read what there is and stop")
     a = p.parse_args(args)
     from tidemark.session import session
 
     spark: SparkSession = session("tidemark-stream", streaming=True)
-    raw = readers.kafka_stream(spark, a.bootstrap, a.topic) if a.source == "kafka" else readers.json_stream(spark, a.input_dir)
+    if a.source == "kafka":
+        raw = readers.kafka_stream(spark, a.bootstrap, a.topic, settings.stream.rows_per_trigger)
+    else:
+        raw = readers.json_stream(spark, a.input_dir, settings.stream.files_per_trigger)
     sink = replace_sink(Store(spark, a.warehouse), "aggregates_1m") if a.sink == "store" else None
-    start(windowed(transform.transform(raw)), a.checkpoint, sink, trigger=a.trigger).awaitTermination()
+    rollup = windowed(transform.transform(raw), watermark=f"{settings.stream.watermark_seconds} seconds")
+    start(rollup, a.checkpoint, sink, once=a.once, trigger=a.trigger).awaitTermination()
 
 
 if __name__ == "__main__":
