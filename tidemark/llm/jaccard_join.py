@@ -39,13 +39,13 @@ from tidemark.llm.common import connected_components, discard, materialize, text
 WORDS = 4
 PERCENT = 85
 #: Cells of the count sketch that orders shingles: fixed, so its size does not follow the corpus; and cells of one row of it.
-SKETCH_BITS, SLICE_BITS = 21, 13
+SKETCH_BITS, SLICE_BITS = 20, 13
 #: Classes that share a shingle up to this number are paired; more are joined through the one of largest reach.
 FEW = 32
 #: Rows of one frequent shingle that a task reads.
 PART = 1 << 16
 #: Sets of a chunk and shingles of a chunk; a block holds two chunks.
-GROUP, TOKENS = 512, 1 << 19
+GROUP, TOKENS = 512, 1 << 18
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
@@ -79,7 +79,7 @@ def _summaries(documents: DataFrame, k: int) -> DataFrame:
     """Of each document the size and a 128-bit fingerprint of its set; of each task its sketch, in slices of cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << SKETCH_BITS, np.int64)
+        cells = np.zeros(1 << SKETCH_BITS, np.int32)
         names = ["doc_id", "n", "fp1", "fp2", "slice", "lot", "hits"]
         for batch in batches:
             size, one, two = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
@@ -88,7 +88,7 @@ def _summaries(documents: DataFrame, k: int) -> DataFrame:
                 size[i] = len(tokens)
                 one[i], two[i] = _fingerprint(tokens)
                 hits.append(_cell(tokens))
-            cells += np.bincount(np.concatenate(hits), minlength=len(cells))
+            cells += np.bincount(np.concatenate(hits), minlength=len(cells)).astype(np.int32)
             none = pa.nulls(batch.num_rows, pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(one), pa.array(two), none, none, pa.nulls(batch.num_rows, pa.binary())], names)
         slices = cells.reshape(-1, 1 << min(SLICE_BITS, SKETCH_BITS))
@@ -100,8 +100,8 @@ def _summaries(documents: DataFrame, k: int) -> DataFrame:
     return documents.mapInArrow(run, "doc_id bigint, n bigint, fp1 bigint, fp2 bigint, slice int, lot int, hits binary")
 
 
-def _added_up(slices: DataFrame, *keys: str) -> DataFrame:
-    """Sums of the counts of equal keys; a task holds one slice at a time."""
+def _added_up(slices: DataFrame, kind: type, *keys: str) -> DataFrame:
+    """Sums, in 64 bits, of the counts (of type ``kind``) of equal keys; a task holds one slice at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total = None, None
@@ -111,8 +111,8 @@ def _added_up(slices: DataFrame, *keys: str) -> DataFrame:
                 if key != now:
                     if now:
                         yield out()
-                    now, total = key, np.zeros(len(hits) // 8, np.int64)
-                total += np.frombuffer(hits, np.int64)
+                    now, total = key, np.zeros(len(hits) // np.dtype(kind).itemsize, np.int64)
+                total += np.frombuffer(hits, kind)
         if now:
             yield out()
 
@@ -121,9 +121,9 @@ def _added_up(slices: DataFrame, *keys: str) -> DataFrame:
 
 def _sketch(summary: DataFrame) -> np.ndarray:
     """The counts of all cells: tasks are added up by lots first, then lots."""
-    lots = _added_up(summary.where("slice is not null"), "slice", "lot")
+    lots = _added_up(summary.where("slice is not null"), np.int32, "slice", "lot")
     out = np.zeros((1 << max(SKETCH_BITS - SLICE_BITS, 0), 1 << min(SLICE_BITS, SKETCH_BITS)), np.int64)
-    for row in _added_up(lots, "slice").collect():  # the cells of the sketch, whatever the input
+    for row in _added_up(lots, np.int64, "slice").collect():  # the cells of the sketch, whatever the input
         out[row["slice"]] = np.frombuffer(row["hits"], np.int64)
     return np.minimum(out.ravel(), np.iinfo(np.int32).max).astype(np.int32)
 
