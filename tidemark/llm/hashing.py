@@ -39,17 +39,22 @@ def space_table() -> np.ndarray:
 
 
 _powers: dict[str, np.ndarray] = {}
+#: Powers up to this number are kept by a worker; more are made for one call.
+KEPT = 1 << 18
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """``BASE**i`` and ``BASE**-i`` for i below ``n`` or more."""
-    if len(_powers.get("up", ())) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        for name, step in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-            out = np.full(size, step, np.uint64)
-            out[0] = 1
-            _powers[name] = np.multiply.accumulate(out)
-    return _powers["up"], _powers["down"]
+    if len(_powers.get("up", ())) >= n:
+        return _powers["up"], _powers["down"]
+    made = []
+    for step in (BASE, pow(BASE, -1, 1 << 64)):
+        out = np.full(max(n, KEPT), step, np.uint64)
+        out[0] = 1
+        made.append(np.multiply.accumulate(out, out=out))
+    if n <= KEPT:
+        _powers["up"], _powers["down"] = made
+    return made[0], made[1]
 
 
 def prefix_hashes(values: np.ndarray) -> np.ndarray:

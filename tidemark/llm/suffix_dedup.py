@@ -4,9 +4,8 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier,
 the same one. Equal strings share their minimizer, the k-gram of least hash, so strings meet by their minimizer: each document
 names the runs of consecutive starts with one minimizer, and only runs whose minimizer occurs twice go on.
 
-Runs of equal hash are one class, of which all but the first occurrence go at once; that settles the inside of every repeated
-passage, however often it occurs. Neighbouring runs that repeat neighbouring ones are then one segment, and the
-SHA-256 of a segment and of what it repeats must agree. Runs of a segment where they do not are judged like first ones.
+Runs of equal bytes, told by 128 bits of BLAKE2b, are one class, of which all but the first occurrence go at once; that settles the inside
+of every repeated passage, however often it occurs.
 
 What is left are first runs of a minimizer with several classes, the rims of passages. Their bytes are gathered by minimizer and
 the suffixes that start at the minimizers are sorted by mergesort, as are the reversed ones that end there. Two suffixes compare by a binary
@@ -41,15 +40,13 @@ GRAM = 16
 #: Bytes of a text that are looked at together; parts overlap by LENGTH - 1 bytes.
 PART = 1 << 20
 #: Runs of one minimizer that meet in one task, and runs that one suffix sort holds (at least a minimizer's).
-GROUP, SORTED = 1 << 16, 1 << 15
-#: Stretches of one document that a row names.
-LIST = 1 << 16
+GROUP, SORTED = 1 << 14, 1 << 12
 
-RUN = "h bigint, span bigint, doc_id bigint, at bigint, n int, off int"
+RUN = "h bigint, doc_id bigint, at bigint, n int, off int, span1 bigint, span2 bigint"
 
 
 def minimizer_runs(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Minimizer hash, hash of the covered bytes, first start, number of starts and place of the minimizer after the first start, of each run."""
+    """Minimizer hash, first start, number of starts and place of the minimizer after the first start, of each run."""
     n = len(data) - length + 1
     prefix = hashing.prefix_hashes(hashing.byte_table()[data])
     at = np.arange(len(data) - gram + 1)
@@ -65,33 +62,44 @@ def minimizer_runs(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) ->
     place = (key[:n] & np.uint64((1 << 21) - 1)).astype(np.int64)
     start = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])
     end = np.append(start[1:], n)
-    whole = hashing.range_hashes(prefix, start, end + length - 1)
-    shape = (end - start).astype(np.uint64) * np.uint64(hashing.BASE) + (place[start] - start).astype(np.uint64)
-    return grams[place[start]], hashing.mix(whole ^ hashing.mix(shape)), start, end - start, place[start] - start
+    return grams[place[start]], start, end - start, place[start] - start
 
 
-def _runs(documents: DataFrame, length: int, gram: int, span_bits: int) -> DataFrame:
+def _digests(raw: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128 bits of BLAKE2b of each stretch, as two columns."""
+    found = b"".join([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist())])
+    return np.frombuffer(found, np.int64).reshape(-1, 2)
+
+
+def _runs(documents: DataFrame, length: int, gram: int, whole: bool) -> DataFrame:
+    """The runs of every document; without ``whole`` their minimizers only."""
     part_bytes = PART
+    names = [c.split()[0] for c in RUN.split(", ")][: None if whole else 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
-            held: list[list[np.ndarray]] = []
+            held: list[tuple[np.ndarray, ...]] = []
             size = 0
             for i, x in zip(ids.tolist(), text_rows(batch.column("text"))):
                 if x is None or len(x) < length:
                     continue
                 for a in range(0, len(x) - length + 1, part_bytes):
-                    h, span, at, n, off = minimizer_runs(x[a : a + part_bytes + length - 1], length, gram)
-                    held.append([h.view(np.int64), (span >> np.uint64(64 - span_bits)).view(np.int64), np.full(len(h), i), at + a, n.astype(np.int32), off.astype(np.int32)])
+                    part = x[a : a + part_bytes + length - 1]
+                    h, at, n, off = minimizer_runs(part, length, gram)
+                    row = (h.view(np.int64),)
+                    if whole:
+                        spans = _digests(part.tobytes(), at, at + n + length - 1)
+                        row += (np.full(len(h), i), at + a, n.astype(np.int32), off.astype(np.int32), spans[:, 0], spans[:, 1])
+                    held.append(row)
                     size += len(h)
                 if size > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["h", "span", "doc_id", "at", "n", "off"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names)
                     held, size = [], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["h", "span", "doc_id", "at", "n", "off"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names)
 
-    return documents.mapInArrow(run, RUN)
+    return documents.mapInArrow(run, ", ".join(RUN.split(", ")[: len(names)]))
 
 
 def suffix_order(data: np.ndarray, starts: np.ndarray, limits: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,8 +109,9 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, limits: np.ndarray, group
     ``groups`` does not decrease. All merges of one width are done together: a suffix finds its place in the other half by
     binary search, and two suffixes compare by the byte after their common extension. Neighbours are verified by their bytes.
     """
-    prefix = hashing.prefix_hashes(hashing.byte_table()[data])
-    _, down = hashing.powers(len(prefix))
+    up, down = hashing.powers(len(data) + 1)
+    prefix = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(hashing.byte_table()[data] * up[: len(data)], out=prefix[1:])
     most = int(limits.max()) if len(limits) else 0
 
     def extension(i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -220,10 +229,10 @@ def _intervals(later: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarr
     return span, at[span] - beyond + 1, at[span] - least + length
 
 
-def _cut(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (doc_id, lot, h, part, parts, at, size, off) with the bytes at each place: as they are for a run, as SHA-256 where h is null."""
-    fields = ["h", "part", "parts", "at", "size", "off"]
-    lists = wanted.groupBy("doc_id", "lot").agg(F.collect_list(F.struct(*fields)).alias("runs"))  # as many as the text has runs, or LIST
+def _cut(documents: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """The ``wanted`` runs (doc_id, h, part, parts, at, n, off) with their bytes."""
+    fields = ["h", "part", "parts", "at", "n", "off"]
+    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias("runs"))  # as many as the text has
     texts = documents.join(lists.hint("merge"), "doc_id").select("doc_id", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +244,7 @@ def _cut(documents: DataFrame, wanted: DataFrame) -> DataFrame:
             begin, spans, held = bounds[0], [], 0
             for x, a, b in zip(text_rows(batch.column("text")), bounds[:-1], bounds[1:]):
                 raw = x.tobytes()
-                found = [raw[p : p + n] if h is not None else hashlib.sha256(raw[p : p + n]).digest() for h, p, n in zip(*(columns[k].slice(a, b - a).to_pylist() for k in (0, 3, 4)))]
+                found = [raw[p : p + n + length - 1] for p, n in zip(*(columns[k].slice(a, b - a).to_pylist() for k in (3, 4)))]
                 spans += found
                 held += sum(map(len, found))
                 if held > 1 << 24 or b == bounds[-1]:
@@ -243,7 +252,7 @@ def _cut(documents: DataFrame, wanted: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(docs[begin - bounds[0] : b - bounds[0]]), *mine, pa.array(spans, pa.binary())], ["doc_id", *fields, "span"])
                     begin, spans, held = b, [], 0
 
-    return texts.mapInArrow(run, "doc_id bigint, h bigint, part int, parts int, at bigint, size int, off int, span binary")
+    return texts.mapInArrow(run, "doc_id bigint, h bigint, part int, parts int, at bigint, n int, off int, span binary")
 
 
 def _sort(spans: DataFrame, length: int) -> DataFrame:
@@ -286,71 +295,23 @@ def _sort(spans: DataFrame, length: int) -> DataFrame:
     return found.where("string is null").select("doc_id", "s", "e").unionByName(late.select("doc_id", "s", "e"))
 
 
-def _segments(late: DataFrame, length: int) -> DataFrame:
-    """(doc_id, s, e, first_doc, first_s): stretches of neighbouring ``late`` runs (doc_id, at, n, first) whose first occurrences are neighbours too."""
-    per_doc = late.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "n", F.col("first.doc_id").alias("d"), F.col("first.at").alias("f")))).alias("runs"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("runs")
-            flat = lists.values
-            at, n, d, f = (flat.field(c).to_numpy() for c in ("at", "n", "d", "f"))
-            docs = np.repeat(batch.column("doc_id").to_numpy(), np.diff(lists.offsets.to_numpy()))
-            base = lists.offsets[0].as_py() if len(lists) else 0
-            at, n, d, f = (c[base : base + len(docs)] for c in (at, n, d, f))
-            new = np.concatenate([[True], (docs[1:] != docs[:-1]) | (d[1:] != d[:-1]) | (at[1:] != at[:-1] + n[:-1]) | (f[1:] != f[:-1] + n[:-1])]) if len(docs) else np.zeros(0, bool)
-            a = np.flatnonzero(new)
-            z = np.append(a[1:], len(docs)) - 1 if len(a) else a
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (docs[a], at[a], at[z] + n[z] + length - 1, d[a], f[a])], ["doc_id", "s", "e", "first_doc", "first_s"])
-
-    return per_doc.mapInArrow(run, "doc_id bigint, s bigint, e bigint, first_doc bigint, first_s bigint")
-
-
-def removed_intervals(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, span_bits: int = 64) -> DataFrame:
-    """(doc_id, s, e): byte ranges that go; they may overlap. ``documents``: doc_id, text, without null ids. Runs are compared by hashes of ``span_bits`` first."""
-    runs = _runs(documents, length, gram, span_bits)
+def removed_intervals(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """(doc_id, s, e): byte ranges that go; they may overlap. ``documents``: doc_id, text, without null ids."""
     # Small tables are written before they are joined, so that a frequent minimizer can be split where it is joined.
-    twice = materialize(runs.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h"), "suffix-twice")
-    again = materialize(runs.join(twice.hint("merge"), "h"), "suffix-runs")
-    classes = materialize(again.groupBy("h", "span").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("times")), "suffix-classes")
+    twice = _runs(documents, length, gram, whole=False).groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
+    twice = materialize(twice, "suffix-twice")
+    again = materialize(_runs(documents, length, gram, whole=True).join(twice.hint("merge"), "h"), "suffix-runs")
+    span = ["h", "span1", "span2"]
+    classes = materialize(again.groupBy(*span).agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("times")), "suffix-classes")
     kinds = materialize(classes.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "suffix-kinds")
-    marked = materialize(classes.join(kinds.hint("merge"), "h", "left").where("times > 1 or kinds > 1").select("h", "span", "first", F.coalesce("kinds", F.lit(1)).alias("kinds")), "suffix-marked")
-    judged = again.join(marked.hint("merge"), ["h", "span"])
-    is_late = F.struct("doc_id", "at") > F.col("first")
-    judged = materialize(judged.withColumn("late", is_late).where("late or kinds > 1"), "suffix-judged")
-    late, rims = judged.where("late"), judged.where("not late")
-
-    segments = materialize(_segments(late, length), "suffix-segments")
-    size = (F.col("e") - F.col("s")).cast("int").alias("size")
-    none = [F.lit(None).cast("bigint").alias("h"), F.lit(0).alias("part"), F.lit(1).alias("parts")]
-    firsts = segments.select(F.col("first_doc").alias("doc_id"), F.col("first_s").alias("at"), size).distinct()
-    # A document that very many others repeat is read by several rows.
-    lots = firsts.groupBy("doc_id").agg(F.ceil(F.count("*") / LIST).cast("int").alias("lots")).where("lots > 1")
-    firsts = firsts.join(materialize(lots, "suffix-lots").hint("merge"), "doc_id", "left")
-    lot = F.pmod(F.xxhash64("at", "size"), F.coalesce("lots", F.lit(1))).cast("int").alias("lot")
-    firsts = firsts.select("doc_id", lot, *none, "at", "size", F.lit(0).alias("off"))
-    mine = segments.select("doc_id", F.lit(0).alias("lot"), *none, F.col("s").alias("at"), size, F.lit(0).alias("off"))
-    parts = F.ceil(F.col("kinds") / GROUP).cast("int")
-    as_run = lambda df, parts: df.select("doc_id", F.lit(0).alias("lot"), "h", F.pmod(F.xxhash64("doc_id", "at"), parts).cast("int").alias("part"), parts.alias("parts"), "at", (F.col("n") + length - 1).cast("int").alias("size"), "off")
-    cut = materialize(_cut(documents, as_run(rims, parts).unionByName(mine).unionByName(firsts)), "suffix-cut")
-
-    digests = materialize(cut.where("h is null").select("doc_id", "at", "size", F.col("span").alias("digest")).distinct(), "suffix-digests")
-    of = lambda i: digests.select(F.col("doc_id").alias(f"d{i}"), F.col("at").alias(f"s{i}"), F.col("size").alias(f"size{i}"), F.col("digest").alias(f"digest{i}")).hint("merge")
-    held = segments.withColumn("size", size).join(of(1), (F.col("doc_id") == F.col("d1")) & (F.col("s") == F.col("s1")) & (F.col("size") == F.col("size1")))
-    held = held.join(of(2), (F.col("first_doc") == F.col("d2")) & (F.col("first_s") == F.col("s2")) & (F.col("size") == F.col("size2")))
-    wrong = materialize(held.where("digest1 != digest2").select(F.col("doc_id").alias("bad_doc"), F.col("s").alias("bad_s"), F.col("e").alias("bad_e")), "suffix-collisions")
-    spans = cut.where("h is not null")
-    if not wrong.isEmpty():  # two runs of one class have different bytes: their minimizers are judged run by run
-        inside = (F.col("doc_id") == F.col("bad_doc")) & (F.col("at") >= F.col("bad_s")) & (F.col("at") + F.col("n") + length - 1 <= F.col("bad_e"))
-        hit = materialize(late.join(wrong.hint("merge"), inside).select("h").distinct(), "suffix-hit")
-        whole = again.join(hit.hint("merge"), "h")
-        times = materialize(whole.groupBy("h").agg(F.count("*").alias("kinds")), "suffix-again")
-        spans = spans.join(hit.hint("merge"), "h", "left_anti").unionByName(_cut(documents, as_run(whole.join(times.hint("merge"), "h"), parts)))
-        late = late.join(hit.hint("merge"), "h", "left_anti")
-    rims = _sort(spans, length)
+    marked = materialize(classes.join(kinds.hint("merge"), "h", "left").where("times > 1 or kinds > 1").select(*span, "first", F.coalesce("kinds", F.lit(1)).alias("kinds")), "suffix-marked")
+    judged = again.join(marked.hint("merge"), span).withColumn("late", F.struct("doc_id", "at") > F.col("first")).where("late or kinds > 1")
+    judged = materialize(judged.select("h", "doc_id", "at", "n", "off", "kinds", "late"), "suffix-judged")
     discard(again)
-    discard(cut)
-    return late.select("doc_id", F.col("at").alias("s"), (F.col("at") + F.col("n") + length - 1).alias("e")).unionByName(rims)
+    parts = F.ceil(F.col("kinds") / GROUP).cast("int")
+    rims = judged.where("not late").select("doc_id", "h", F.pmod(F.xxhash64("doc_id", "at"), parts).cast("int").alias("part"), parts.alias("parts"), "at", "n", "off")
+    found = _sort(_cut(documents, rims, length), length)
+    return judged.where("late").select("doc_id", F.col("at").alias("s"), (F.col("at") + F.col("n") + length - 1).alias("e")).unionByName(found)
 
 
 def _merged(spans: np.ndarray) -> np.ndarray:
@@ -389,7 +350,7 @@ def row_keys(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keyed, single.select(F.col("row_key").alias("doc_id"), "text")
 
 
-def remove_repeats(documents: DataFrame, keep_text: bool = False, length: int = LENGTH, span_bits: int = 64) -> DataFrame:
+def remove_repeats(documents: DataFrame, keep_text: bool = False, length: int = LENGTH) -> DataFrame:
     """n_bytes, n_removed, n_spans and kept_sha256 of every document, after its columns but for ``text``.
 
     With ``keep_text`` the kept text is a column too; characters of which some bytes go, go whole there.
@@ -397,7 +358,7 @@ def remove_repeats(documents: DataFrame, keep_text: bool = False, length: int =
     names = [c for c in documents.columns if c not in ("doc_id", "text")]
     d = documents.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"), *names)
     d, single = row_keys(d)
-    gone = removed_intervals(single, length, span_bits=span_bits)
+    gone = removed_intervals(single, length)
     gone = gone.groupBy("doc_id").agg(F.collect_set(F.struct("s", "e")).alias("gone")).withColumnRenamed("doc_id", "row_key")  # as many as the text has
     joined = d.join(gone.hint("merge"), "row_key", "left").select(*names, F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), "text", "gone")
     made = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if keep_text else [])]
