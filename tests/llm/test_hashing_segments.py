@@ -139,3 +139,24 @@ def test_double_array_finds_its_keys_only():
 
     assert all(find(k) == v for k, v in keys.items())
     assert [find(w) for w in (b"bc", b"z", b"abcd", b"c", b"")] == [-1] * 5
+
+
+def test_encode_decode_rows(docs):
+    """Null, empty and repeated rows, columns of clashing names, a word of many thousand bytes, an empty table."""
+    import public_tokenizers
+
+    from tidemark.llm.unigram import encode_decode
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    texts = [None, "", " ", "plain words", "x" * 3000, "\u65e5\u672c\u8a9e" * 400, "emoji \U0001f600 and \x00 bytes", "a  b\n\tc "]
+    rows = encode_decode(docs([*texts, (3, "plain words"), (None, "plain words")]).withColumnRenamed("score", "n_ids"), path).collect()
+    assert len(rows) == len(texts) + 2 and all(r.round_trip for r in rows)
+    by_id = {i: [r for r in rows if r.doc_id == i] for i in [*range(len(texts)), None]}
+    assert [(r.n_ids, r.ids_crc32) for i in (0, 1) for r in by_id[i]] == [(0, 0), (0, 0)]
+    assert len(by_id[3]) == 2 and len({(r.n_ids, r.ids_crc32) for r in by_id[3] + by_id[None]}) == 1
+    assert by_id[6][0].n_byte_ids > 0 and by_id[3][0].n_byte_ids == 0
+    model = Unigram.load(path)
+    for i, t in enumerate(texts[3:], 3):
+        ids = next(model.encode(iter([np.frombuffer(t.encode(), np.uint8)])))
+        assert by_id[i][0].n_ids == len(ids) and model.decode(ids) == t
+    assert encode_decode(docs([]).limit(0), path).count() == 0

@@ -111,6 +111,31 @@ def test_compiled_rules_equal_the_model(spark, docs):
     assert [r.predicted for r in got] == [i % 2 for i in range(120)]
 
 
+def test_rules_are_the_paths_of_a_tree():
+    """The rules of the leaves hold for each row exactly once, and a row's step is that of its leaf, computed from its rows."""
+    rng = np.random.default_rng(5)
+    x = rng.random((400, 4))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(float)
+    edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, 33)[1:-1])) for f in range(4)]
+    binned = np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], axis=1)
+    grad, hess, rows = 0.5 - y, np.full(400, 0.25), rng.permutation(400)[:250]
+    rules, step = quality_classifier._tree_rules(x, binned, edges, grad, hess, rows)
+    plain = [np.array([all(low < v[f] <= high for f, low, high in r.bounds) for v in x]) for r in rules]
+    assert all((r.holds(x) == p).all() for r, p in zip(rules, plain))
+    leaves = [p for i, p in enumerate(plain) if not any(j != i and (q <= p).all() and q.sum() < p.sum() for j, q in enumerate(plain))]
+    assert (np.sum(leaves, axis=0) == 1).all() and len(leaves) > 3
+    for p in leaves:
+        mine = rows[p[rows]]
+        assert np.allclose(step[p], -grad[mine].sum() / (hess[mine].sum() + 1))
+
+
+def test_repeated_ids_do_not_enlarge_the_sample(spark, docs):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id bigint, quality int, toxic int")
+    texts = [(i, ("fine words here and there " if i % 2 else "%% $$ ## ") * 20) for i in range(40)]
+    once, often = (quality_classifier.train(docs(rows), labels) for rows in (texts, texts * 5))
+    assert once == often
+
+
 def test_lasso_keeps_what_matters():
     rng = np.random.default_rng(2)
     m = rng.integers(0, 2, (500, 6)).astype(float)
@@ -126,6 +151,33 @@ def test_language_held_out(spark):
     assert np.mean([r.rejected for r in rows]) <= 0.02
 
 
+def test_probabilities_are_those_of_averaged_embeddings():
+    rng = np.random.default_rng(6)
+    model = language_id.LanguageModel(("a", "b", "c"), rng.standard_normal((language_id.BUCKETS, 4)), rng.standard_normal((4, 3)), rng.standard_normal(3), 0.7)
+    counts = language_id.subword_counts(np.frombuffer(b"Ein kurzer Satz", np.uint8))
+    mean = sum(n * model.embeddings[i] for i, n in enumerate(counts) if n) / counts.sum()
+    z = [(sum(mean[k] * model.softmax[k, j] for k in range(4)) + model.bias[j]) / 0.7 for j in range(3)]
+    assert np.allclose(model.probabilities(counts.astype(float), model.table()), np.exp(z) / np.exp(z).sum())
+    folded = " ein kurzer satz ".encode()
+    grams = {folded[i : i + n] for n in language_id.SIZES for i in range(len(folded) - n + 1)} - {b" "}
+    assert counts.sum() == sum(len(folded) - n + 1 for n in language_id.SIZES) and (counts > 0).sum() >= 0.95 * len(grams)
+
+
+def test_scores_are_calibrated(spark):
+    """Held-out documents: the mean of the scores is about the share that is right."""
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = language_id.language_id(d).where("held_out and not rejected").join(d.select("doc_id", "lang"), "doc_id").collect()
+    assert abs(np.mean([r.score for r in rows]) - np.mean([r.lang_pred == r.lang for r in rows])) <= 0.03
+
+
+def test_a_language_kept_back_is_rejected(spark):
+    """Spanish, trained without it: most documents are rejected, while those of the learned languages stay."""
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = language_id.predict(d, language_id.train(d.where("lang != 'es'"))).collect()
+    assert np.mean([r.rejected for r in rows if r.lang == "es"]) >= 0.8
+    assert np.mean([r.rejected for r in rows if r.lang != "es"]) <= 0.03
+
+
 UNLEARNED = [
     "Вчера мы с друзьями пошли в новую библиотеку и прочитали там много интересных книг.",
     "Wczoraj poszliśmy z przyjaciółmi do nowej biblioteki i przeczytaliśmy tam wiele ciekawych książek.",

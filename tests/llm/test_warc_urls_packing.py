@@ -195,6 +195,40 @@ def test_bin_completion_is_optimal_on_small_cases():
         assert packing.lower_bound(counts, 20) <= fewest_bins(items, 20) == sum(n for _, n in kinds)
 
 
+def bins(kinds):
+    return sum(n for _, n in kinds)
+
+
+def test_search_beats_best_fit():
+    """Lists on which best fit is not tight: the search needs fewer bins, and without bounds the fewest there are."""
+    rng, better = np.random.default_rng(4), 0
+    for _ in range(400):
+        items = sorted(rng.integers(3, 11, rng.integers(6, 10)).tolist(), reverse=True)
+        counts = np.bincount(items, minlength=21)
+        first, found = bins(packing.best_fit(counts, 20)), bins(packing.bin_completion(counts, 20))
+        assert packing.lower_bound(counts, 20) <= found <= first
+        if found < first:
+            better += 1
+            assert found == bins(packing.bin_completion(counts, 20, packing.EXACT)) == fewest_bins(items, 20)
+    assert better >= 3
+
+
+def test_exact_search_has_no_bounds():
+    """With bounds of one node nothing is searched; without any the result is the least for all."""
+    rng = np.random.default_rng(14)
+    for _ in range(40):
+        items = rng.integers(2, 15, 8).tolist()
+        counts = np.bincount(items, minlength=21)
+        kinds = packing.bin_completion(counts, 20, packing.EXACT)
+        assert bins(kinds) == fewest_bins(sorted(items, reverse=True), 20)
+        assert bins(packing.bin_completion(counts, 20, (0, 1, 1))) == bins(packing.best_fit(counts, 20))
+        used = np.zeros(21, int)
+        for bin_, many in kinds:
+            for size, n in bin_:
+                used[size] += n * many
+        assert (used == counts).all()
+
+
 def test_packing(spark, docs):
     texts = [None, "", "a", "hello world " * 3, "x y z " * 2000, "the cat " * 1023 + "the", "q " * 700, "<|endoftext|>"] + ["tiny"] * 50
     rows = packing.pack(docs([*texts, (3, "hello world " * 3)]), PATH).collect()
@@ -239,3 +273,27 @@ def test_pipeline(spark):
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
     assert {r.doc_id for r in pieces} == before
     assert sorted((r.doc_id, r.piece) for r in corpus_pipeline.run(spark, sf).collect()) == sorted((r.doc_id, r.piece) for r in pieces)
+
+
+def test_pipeline_stages_bear_odd_rows(spark, docs):
+    """Nulls, empty and very long texts, repeated rows and ids, and an empty table; every stage but the last keeps the columns."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    clean = spark.read.parquet(f"{sf}/documents.parquet")
+    long = " ".join(f"word{i}" for i in range(60_000))
+    odd = [(None, "a b c"), (None, None), (None, None), (1, None), (2, ""), (3, long), (3, long), (3, long + " more"), (1, "x" * 5000)]
+    table = clean.withColumn("score", F.lit(1)).unionByName(docs([(None if i is None else 10**6 + i, t) for i, t in odd]))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, table.limit(0), sf).count() == 0, name
+        rows = stage(spark, table, sf).collect()
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert list(rows[0].asDict()) == list(corpus_pipeline.COLUMNS), name
+        if name == "n-gram Jaccard join":
+            lengths = sorted(len(r.text or "") for r in rows if (r.doc_id or 0) >= 10**6)
+            assert lengths[:3] == [0, 0, 5000] and len(lengths) == 4 and lengths[3] in (len(long), len(long) + 5)  # near copies of one id: the first by hash
+        if name == "suffix-array deduplication":
+            assert len(rows) == clean.count() + len(odd)
+            assert sorted((r.text or "")[:20] for r in rows if r.doc_id is None) == ["", "", "a b c"]
+        if name == "best-fit packing":
+            assert sum(r.length for r in rows if r.doc_id is None) == 3 + 1 + 2

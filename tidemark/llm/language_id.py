@@ -27,6 +27,8 @@ from tidemark.llm.common import text_rows
 BUCKETS, DIM, SIZES = 1 << 13, 16, (2, 3, 4)
 #: The fit reads at most this many documents of each language, those with the smallest hashes of their ids.
 PER_LANGUAGE = 1_200
+#: The fit learns at most this many languages, those of most documents.
+LANGUAGES = 1_000
 EPOCHS, BATCH, RATE = 12, 32, 0.5
 #: Of documents like those of the calibration part, this share is rejected.
 REJECTED_SHARE = 0.005
@@ -171,7 +173,7 @@ def train(documents: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageMod
     """
     ids = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
     ids = ids.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = ids.groupBy("lang").count().collect()
+    counts = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if counts:
         share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, (2 * per_language + 50) / r["count"]))))
         ids = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
@@ -191,7 +193,9 @@ def train(documents: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageMod
                 ["doc_id", "lang", "bucket", "n"],
             )
 
-    rows = texts.mapInArrow(run, "doc_id bigint, lang string, bucket array<smallint>, n array<int>").toArrow()
+    rows = texts.mapInArrow(run, "doc_id bigint, lang string, bucket array<smallint>, n array<int>")
+    # One row an id and language, however often it stands there.
+    rows = rows.groupBy("doc_id", "lang").agg(F.min(F.struct("bucket", "n")).alias("x")).select("doc_id", "lang", "x.*").toArrow()
     rows = rows.sort_by([("doc_id", "ascending"), ("lang", "ascending")])
     docs = [(b.values.to_numpy(), n.values.to_numpy()) for b, n in zip(rows.column("bucket"), rows.column("n"))]
     return fit(docs, rows.column("lang").to_pylist())

@@ -26,10 +26,10 @@ from tidemark.llm.common import materialize, text_rows
 
 CAPACITY = 2048
 END_ID = 0
-#: Completions tried before the best packing so far is taken; each uses up one length at least.
-NODES = 20_000
-#: Fillings compared around one largest document, and steps spent on finding them.
-WIDTH, STEPS = 3, 400
+#: Completions tried before the best packing so far is taken, fillings compared around one largest document, and steps spent on finding them.
+#: ``EXACT`` has no such bounds and tries every number of pieces of a length: it ends with the fewest bins, in time that may grow without limit.
+BOUNDS = (20_000, 3, 400)
+EXACT = (None, None, None)
 
 #: A kind of bin: lengths with how often each occurs in it, and how many such bins there are.
 Kind = tuple[tuple[tuple[int, int], ...], int]
@@ -97,14 +97,15 @@ def _available(counts: np.ndarray) -> list[int]:
     return np.flatnonzero(counts).tolist()
 
 
-def completions(counts: np.ndarray, capacity: int, width: int = WIDTH) -> list[list[tuple[int, int]]]:
-    """Undominated ways to fill a bin around the largest piece, least waste first."""
+def completions(counts: np.ndarray, capacity: int, width: int | None = BOUNDS[1], most: int | None = BOUNDS[2]) -> list[list[tuple[int, int]]]:
+    """Undominated ways to fill a bin around the largest piece, least waste first: ``width`` of those found in ``most`` steps, or all."""
     sizes = _available(counts)
     largest = sizes[-1]
     left = dict(zip(sizes, (int(counts[s]) for s in sizes)))
     left[largest] -= 1
     found: list[tuple[int, list[tuple[int, int]]]] = []
-    steps = STEPS
+    steps = np.inf if most is None else most
+    width = np.inf if width is None else width
 
     def fill(room: int, below: int, chosen: list[tuple[int, int]]) -> None:
         nonlocal steps
@@ -119,11 +120,11 @@ def completions(counts: np.ndarray, capacity: int, width: int = WIDTH) -> list[l
             many = min(left[size], room // size)
             if many:
                 fits = True
-                fill(room - many * size, size - 1, [*chosen, (size, many)])
-                if found and found[-1][0] == 0 and len([w for w, _ in found if w == 0]) >= width:
-                    return
-                if many > 1 and steps > 0:
-                    fill(room - size, size - 1, [*chosen, (size, 1)])
+                for n in range(many, 0, -1) if most is None else dict.fromkeys((many, 1)):
+                    if steps > 0:
+                        fill(room - n * size, size - 1, [*chosen, (size, n)])
+                    if len([w for w, _ in found[-1:] if w == 0]) and len([w for w, _ in found if w == 0]) >= width:
+                        return
             at -= 1
         if not fits:
             found.append((room, chosen))
@@ -157,18 +158,20 @@ def _dominated(waste: int, chosen: list[tuple[int, int]], left: dict[int, int],
             at -= 1
         return False
 
-    items = [s for s, n in chosen for _ in range(min(n, 2))][:12]
+    items = [s for s, n in chosen for _ in range(min(n, 2))]
     if waste and any(larger(s, s + 1) for s in items):
         return True
     return any(larger(a + b, a + b) for i, a in enumerate(items) for b in items[i + 1 :])
 
 
-def bin_completion(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> list[Kind]:
-    """Kinds of bins that hold all pieces, as few bins as the search finds.
+def bin_completion(counts: np.ndarray, capacity: int = CAPACITY, bounds: tuple[int | None, int | None, int | None] = BOUNDS) -> list[Kind]:
+    """Kinds of bins that hold all pieces, as few bins as the search finds within ``bounds`` (nodes, width, steps), or the fewest with EXACT.
 
-    Branch and bound: around the largest piece try the undominated fillings, each as often as the pieces allow; leave a
-    branch whose bins and lower bound do not beat the incumbent, at first the best-fit packing.
+    Branch and bound: around the largest piece try the undominated fillings, each as often as the pieces allow (with EXACT once);
+    leave a branch whose bins and lower bound do not beat the incumbent, at first the best-fit packing.
     """
+    nodes, width, steps = bounds
+    nodes = np.inf if nodes is None else nodes
     counts = np.asarray(counts, np.int64)
     best = best_fit(counts, capacity)
     fewest, least = sum(n for _, n in best), lower_bound(counts, capacity)
@@ -185,8 +188,8 @@ def bin_completion(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NO
             continue
         if bins + lower_bound(left, capacity) >= fewest:
             continue
-        for chosen in reversed(completions(left, capacity)):
-            many = min(int(left[s]) // n for s, n in chosen)
+        for chosen in reversed(completions(left, capacity, width, steps)):
+            many = min(int(left[s]) // n for s, n in chosen) if steps else 1
             after = left.copy()
             for s, n in chosen:
                 after[s] -= n * many
@@ -237,7 +240,7 @@ def _slots(kinds: list[Kind]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def pack(documents: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+def pack(documents: DataFrame, path: str, capacity: int = CAPACITY, bounds: tuple[int | None, int | None, int | None] = BOUNDS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece of every document."""
     d = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = materialize(_pieces(d, path, capacity), "pack-pieces")
@@ -245,7 +248,7 @@ def pack(documents: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame
     counts = np.zeros(capacity + 1, np.int64)
     for row in per_block.groupBy("length").agg(F.sum("n").alias("n")).collect():  # a row for each length at most
         counts[row["length"]] = row["n"]
-    slots = _slots(bin_completion(counts, capacity))
+    slots = _slots(bin_completion(counts, capacity, bounds))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     shift = per_block.select("length", "block", F.coalesce(before, F.lit(0)).alias("shift"))
     ranked = pieces.join(shift, ["length", "block"]).withColumn("rank", F.col("rank") + F.col("shift"))

@@ -57,9 +57,10 @@ def features(data: np.ndarray) -> np.ndarray:
 
 
 def _distinct(words: np.ndarray) -> float:
-    """The mean share of distinct words in the full blocks of a text, or in all of a shorter one."""
+    """The mean share of distinct words in blocks of a text, the last one from its end, or in all of a shorter one."""
     size = min(DISTINCT_BLOCK, len(words))
-    blocks = np.sort(words[: len(words) // size * size].reshape(-1, size), axis=1)
+    whole = words[: len(words) // size * size].reshape(-1, size)
+    blocks = np.sort(whole if len(words) % size == 0 else np.concatenate([whole, words[None, -size:]]), axis=1)
     return float(1 - (blocks[:, 1:] == blocks[:, :-1]).sum() / blocks.size)
 
 
@@ -220,7 +221,9 @@ def train(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, b
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     # At most max_train rows of two numbers, so the broadcast has a fixed bound.
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    table = with_features(texts).drop("text").toArrow().to_pandas().sort_values("doc_id", kind="stable")
+    values = F.struct(*(PREFIX + f for f in FEATURES))
+    rows = with_features(texts).groupBy("doc_id", "quality").agg(F.min(values).alias("x")).select("doc_id", "quality", "x.*")  # one row an id, however often it stands there
+    table = rows.toArrow().to_pandas().sort_values("doc_id", kind="stable")
     x = table[[PREFIX + f for f in FEATURES]].to_numpy(float)
     return fit(x, (table["quality"].to_numpy() >= 0.5).astype(float))
 

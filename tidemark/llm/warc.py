@@ -1,7 +1,7 @@
 """WARC archives through a chunked record table (operator 4).
 
-A payload is never held whole by Python: Spark cuts it into rows of record identifier, chunk number and bytes, the
-writer streams the chunks of a record into a gzip member while a running SHA-1 goes along, and the reader streams an archive
+A payload is never held whole by Python and meets no join whole: Spark cuts it into rows of record identifier, chunk number and bytes
+as it is read, the writer streams the chunks of a record into a gzip member while a running SHA-1 goes along, and the reader streams an archive
 back into chunk rows with the running digest and length so far. Archives are written by any file system that pyarrow can
 open, under a name of their own for each attempt, and a manifest row names those that count; so a lost or repeated
 task leaves at most a file that nothing reads.
@@ -60,16 +60,19 @@ def record_table(pages: DataFrame, min_bytes: int = 0, chunk: int = CHUNK) -> Da
     p = p.withColumn("record", F.monotonically_increasing_id())
     keys = materialize(p.select("page_id", "digest", "bytes"), "warc-digests")
     heads = keys.where(F.col("bytes") >= min_bytes).groupBy(F.col("digest").alias("d"), F.col("bytes").alias("b")).agg(F.max("page_id").alias("head"), F.count("*").alias("times"))
-    # Only payloads that occur twice change a record's type; the ids that revisit are joined to the payloads by id.
-    again = keys.join(heads.where("times > 1").hint("merge"), (F.col("digest") == F.col("d")) & (F.col("bytes") == F.col("b"))).where("page_id != head")
-    again = again.select(F.col("page_id").alias("revisit"), F.col("digest").alias("d"), F.col("bytes").alias("b"), "head").distinct()
-    p = p.join(again.hint("merge"), (F.col("page_id") == F.col("revisit")) & (F.col("digest") == F.col("d")) & (F.col("bytes") == F.col("b")), "left")
+    # Only payloads that occur twice change a record's type. These tables are written first, so that the copies of a payload can be split where they are joined.
+    heads = materialize(heads.where("times > 1").select("d", "b", "head"), "warc-heads")
+    again = keys.join(heads.hint("merge"), (F.col("digest") == F.col("d")) & (F.col("bytes") == F.col("b"))).where("page_id != head")
+    again = materialize(again.select(F.col("page_id").alias("revisit"), F.col("digest").alias("d"), F.col("bytes").alias("b"), "head").distinct(), "warc-revisits")
+    size = F.col("bytes")
+    starts = F.when(size > 0, F.sequence(F.lit(0).cast("bigint"), size - 1, F.lit(chunk).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))
+    pieces = F.transform(starts, lambda at: F.substring("payload", (at + 1).cast("int"), F.lit(chunk)))
+    cut = p.select("record", "page_id", "url", "digest", "bytes", (F.size(starts) - 1).alias("end"), F.posexplode(pieces).alias("chunk_no", "chunk"))
+    cut = cut.join(again.hint("merge"), (F.col("page_id") == F.col("revisit")) & (F.col("digest") == F.col("d")) & (F.col("bytes") == F.col("b")), "left")
     whole = F.col("head").isNull()
-    last = F.when(whole, F.greatest(F.ceil(F.col("bytes") / chunk).cast("int") - 1, F.lit(0))).otherwise(F.lit(0))
-    cut = p.select("record", "page_id", "url", "digest", "bytes", "head", "payload", last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"))
-    piece = F.when(F.col("head").isNull(), F.substring("payload", F.col("chunk_no") * chunk + 1, F.lit(chunk))).otherwise(F.lit(b""))
-    kind = F.when(F.col("head").isNull(), F.lit("response")).otherwise(F.lit("revisit"))
-    return cut.select("record", "page_id", "url", "digest", "bytes", kind.alias("type"), F.col("head").alias("refers_to"), "chunk_no", piece.alias("chunk"), (F.col("chunk_no") == F.col("last")).alias("last"))
+    cut = cut.where(whole | (F.col("chunk_no") == 0))
+    kind, last = F.when(whole, "response").otherwise("revisit"), F.when(whole, F.col("chunk_no") == F.col("end")).otherwise(F.lit(True))
+    return cut.select("record", "page_id", "url", "digest", "bytes", kind.alias("type"), F.col("head").alias("refers_to"), "chunk_no", F.when(whole, F.col("chunk")).otherwise(F.lit(b"")).alias("chunk"), last.alias("last"))
 
 
 def _urn(page_id: int | None) -> str:
