@@ -457,7 +457,7 @@ SELECT max(n) AS n, round(avg(value), 6) AS mean, max(value) AS max, {ranks} FRO
         "store_deltas": rolled_text("hour"),
         "hot_table": f"{minutes} SELECT region AS dim, CAST(sum(events) AS BIGINT) AS events, CAST(sum(revenue) AS DECIMAL(24,4)) AS revenue FROM last WHERE r <= 30 GROUP BY region",
         "route_kinds": f"{minutes} {routes}",
-        "generated_events": "SELECT 20000 AS events, 20000 AS ids, 0 AS odd_amounts, 0 AS other_days, 75 AS kinds, 0 AS unlike",
+        "generated_events": "SELECT " + ", ".join(f"CAST({n} AS BIGINT) AS {name}" for name, n in (("events", 20_000), ("ids", 20_000), ("odd_amounts", 0), ("other_days", 0), ("kinds", 75), ("unlike", 0))),
     }
 
 
