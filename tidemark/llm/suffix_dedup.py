@@ -40,7 +40,7 @@ GRAM = 16
 #: Bytes of a text that are looked at together; parts overlap by LENGTH - 1 bytes.
 PART = 1 << 20
 #: Runs of one minimizer that meet in one task, and runs that one suffix sort holds (at least a minimizer's).
-GROUP, SORTED = 1 << 14, 1 << 12
+GROUP, SORTED = 1 << 15, 1 << 12
 
 RUN = "h bigint, doc_id bigint, at bigint, n int, off int, span1 bigint, span2 bigint"
 
@@ -111,7 +111,11 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, limits: np.ndarray, group
     """
     up, down = hashing.powers(len(data) + 1)
     prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(hashing.byte_table()[data] * up[: len(data)], out=prefix[1:])
+    sums = prefix[1:]
+    sums[:] = hashing.byte_table()[data]
+    sums *= up[: len(data)]
+    np.cumsum(sums, out=sums)
+    del up
     most = int(limits.max()) if len(limits) else 0
 
     def extension(i: np.ndarray, j: np.ndarray) -> np.ndarray:
