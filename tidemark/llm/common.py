@@ -57,6 +57,11 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def give_back() -> None:
+    """Return what Arrow keeps of freed memory, so that the driver does not go on holding the most that a fit took."""
+    pa.default_memory_pool().release_unused()
+
+
 def text_rows(column: pa.Array) -> Iterator[np.ndarray | None]:
     """The UTF-8 bytes of each string of an Arrow column without copying; None for null."""
     if isinstance(column, pa.ChunkedArray):

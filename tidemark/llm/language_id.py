@@ -17,12 +17,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import text_rows
+from tidemark.llm.common import give_back, text_rows
 
 BUCKETS, DIM, SIZES = 1 << 13, 16, (2, 3, 4)
 #: The fit reads at most this many documents of each language, those with the smallest hashes of their ids.
@@ -196,9 +197,13 @@ def train(documents: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageMod
     rows = texts.mapInArrow(run, "doc_id bigint, lang string, bucket array<smallint>, n array<int>")
     # One row an id and language, however often it stands there.
     rows = rows.groupBy("doc_id", "lang").agg(F.min(F.struct("bucket", "n")).alias("x")).select("doc_id", "lang", "x.*").toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    order = pc.sort_indices(rows, [("doc_id", "ascending"), ("lang", "ascending")]).to_pylist()  # the rows themselves are not copied
     docs = [(b.values.to_numpy(), n.values.to_numpy()) for b, n in zip(rows.column("bucket"), rows.column("n"))]
-    return fit(docs, rows.column("lang").to_pylist())
+    langs = rows.column("lang").to_pylist()
+    model = fit([docs[i] for i in order], [langs[i] for i in order])
+    del rows, docs
+    give_back()
+    return model
 
 
 def predict(documents: DataFrame, model: LanguageModel) -> DataFrame:

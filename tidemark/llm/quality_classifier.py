@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import hashing
-from tidemark.llm.common import text_rows
+from tidemark.llm.common import give_back, text_rows
 from tidemark.llm.quality_rules import text_stats
 
 PREFIX = "qc_"
@@ -225,7 +225,9 @@ def train(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, b
     rows = with_features(texts).groupBy("doc_id", "quality").agg(F.min(values).alias("x")).select("doc_id", "quality", "x.*")  # one row an id, however often it stands there
     table = rows.toArrow().to_pandas().sort_values("doc_id", kind="stable")
     x = table[[PREFIX + f for f in FEATURES]].to_numpy(float)
-    return fit(x, (table["quality"].to_numpy() >= 0.5).astype(float))
+    model = fit(x, (table["quality"].to_numpy() >= 0.5).astype(float))
+    give_back()
+    return model
 
 
 def score_documents(documents: DataFrame, model: RuleModel, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:
