@@ -78,37 +78,36 @@ def text_rows(column: pa.Array) -> Iterator[np.ndarray | None]:
         yield whole[a:b] if ok else None
 
 
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether each u of the ``edges`` (u, v) has one v, and no v is a u."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+    other = ends.groupBy("id").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where("out > 1 or (out = 1 and in = 1)")
+    return not other.agg(F.count("*")).first()[0]
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """``(id, component)`` for every id in the two bigint columns of ``edges``; component is the smallest id reachable.
 
-    Alternates large-star and small-star steps. Each step groups by one column with partial aggregation and joins
-    back, so a hub is split by the adaptive skew join; a written table cuts the lineage after each round. The number of
-    rounds grows with the logarithm of the longest path. Ids without an edge to another id do not appear. Null ends
-    are ignored; repeated and reversed edges count once.
+    Alternates large-star and small-star steps. Each step takes least neighbours with partial aggregation and joins them
+    back; they are written first, so that both sides of the join come straight from a shuffle and the adaptive skew join can split a hub.
+    Every edge points to the smaller id, so it ends as soon as the edges are stars. The number of rounds grows with the logarithm
+    of the longest path. Ids without an edge to another id do not appear. Null ends are ignored; repeated and reversed edges count once.
     """
     a, b = (F.col(c) for c in edges.columns[:2])
     current = materialize(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(a.isNotNull() & b.isNotNull() & (a != b)).distinct(), name
     )
-
-    def signature(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    mark = signature(current)
-    while mark[0]:
+    while not _is_star_forest(current):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        after = materialize(small, name)
-        again = signature(after)
-        discard(current)
+        low = materialize(both.groupBy(F.col("u").alias("v")).agg(F.least("u", F.min("v")).alias("m")), f"{name}-low")
+        large = materialize(current.join(low.hint("merge"), "v").select("u", F.col("m").alias("v")), f"{name}-large")  # a row for each edge
+        discard(low)
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-low")
+        joined = large.join(low.hint("merge"), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = materialize(joined.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
+        for old in (low, large, current):
+            discard(old)
         current = after
-        if again == mark:
-            break
-        mark = again
     roots = current.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return current.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
